@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk
+from . import mixing, packing, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_mixing": mixing.op2_mixing,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op9_topk": topk.op9_topk,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
     "op9_topk": topk.OP9_SQL,
 }
