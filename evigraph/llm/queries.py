@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, topk, url_filter
+from . import line_dedup, mixing, packing, simhash, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_simhash": simhash.op3_simhash,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_topk": topk.op9_topk,
     "op10_packing": packing.op10_packing,
 }
@@ -20,5 +22,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
 }
