@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, simhash, topk, url_filter
+from . import line_dedup, mixing, packing, secret_scan, simhash, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_topk": topk.op9_topk,
     "op10_packing": packing.op10_packing,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op7_secret_scan": secret_scan.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
 }
