@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, secret_scan, simhash, topk, url_filter
+from . import line_dedup, mixing, packing, secret_scan, simhash, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_line_dedup": line_dedup.op8_line_dedup,
