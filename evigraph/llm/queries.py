@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, secret_scan, simhash, suffix_dedup, topk, toxicity, url_filter
+from . import jpeg_media, line_dedup, mixing, packing, secret_scan, simhash, suffix_dedup, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_jpeg_media": jpeg_media.op4_jpeg_media,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_secret_scan": secret_scan.op7_secret_scan,
