@@ -161,7 +161,7 @@ class Batch:
     """The documents of one batch as one byte array."""
 
     def __init__(self, table: pa.Table, copies: np.ndarray, length: int):
-        ids = table["doc_id"].to_pandas().astype("Int64").fillna(LAST).to_numpy(np.int64)
+        ids = table["doc_id"].fill_null(int(LAST)).to_numpy()
         texts = table["text"].to_pylist()
         self.order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))  # the same in each round
         known = set(copies.tolist())
@@ -276,6 +276,16 @@ def _unpack_contexts(blob: bytes) -> tuple[np.ndarray, ...]:
     return hashes, back.astype(np.int64), size.astype(np.int64), near.astype(np.int64) + base, several, np.frombuffer(blob, np.uint8, -1, at)
 
 
+def _slices(group: np.ndarray, weight: np.ndarray, most: int = 1 << 18) -> list[slice]:
+    """Cut ascending groups into slices of about ``most`` in weight, groups whole."""
+    if not len(group):
+        return []
+    cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+    part = np.cumsum(weight)[cuts - 1] // most
+    cuts = cuts[np.flatnonzero(np.diff(np.r_[0, part]) > 0)]
+    return [slice(a, b) for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(group)], strict=True)]
+
+
 def smallest_ids(blobs: list[bytes], length: int) -> list[bytes]:
     """For the contexts that the batches sent to a reducer: what each learns.
 
@@ -300,9 +310,11 @@ def smallest_ids(blobs: list[bytes], length: int) -> list[bytes]:
     windows = np.where(per_anchor[anchor[first]] > 1, count, 1)
     slot = np.r_[0, np.cumsum(windows)]
     value = np.repeat(least, windows)
-    if len(mixed):
-        rows = np.repeat(mixed, count[mixed])
-        step = np.arange(len(rows)) - np.repeat(np.r_[0, np.cumsum(count[mixed])[:-1]], count[mixed])
+    mixed = mixed[np.argsort(anchor[first[mixed]], kind="stable")]
+    for some in _slices(anchor[first[mixed]], count[mixed]):
+        own_count = count[mixed[some]]
+        rows = np.repeat(mixed[some], own_count)
+        step = np.arange(len(rows)) - np.repeat(np.cumsum(own_count) - own_count, own_count)
         at = begin[first[rows]] + step
         group = anchor[first[rows]] * (4 * length) + back[first[rows]] - step + 2 * length
         same = radix_groups(_window_words(data, at, np.full(len(at), length), _digits(length)), group)
@@ -365,7 +377,7 @@ def _apply(batch: Batch, anchors: Anchors, found: Contexts, replies: dict[int, b
     return np.cumsum(gone[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Delete every byte of a repeated window of ``length`` bytes but in the first document.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with
