@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from evigraph.sources.tables import Tables
@@ -247,31 +249,45 @@ def k18(t: Tables) -> DataFrame:
 
 # --- windows ------------------------------------------------------------------
 
-_BY_CUST = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+
+
+def _by_cust() -> WindowSpec:
+    return Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+
+
+def _by_priority() -> WindowSpec:
+    return Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+
+
+def _whole() -> WindowSpec:
+    return _by_cust().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey{})"
 _FULL = " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
-def _window(name: str, sql: str, column: Column) -> None:
+def _window(name: str, sql: str, column: Callable[[], Column]) -> None:
+    """Columns are made when a plan is: that takes a session."""
+
     def plan(t: Tables) -> DataFrame:
-        return t.orders.select("o_orderkey", column.alias("w"))
+        return t.orders.select("o_orderkey", column().alias("w"))
 
     query(name, f"SELECT o_orderkey, {sql} AS w FROM orders")(plan)
 
 
-_PRIORITY = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
 _OVER_P = "OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)"
-_window("w01_row_number", "row_number() " + _OVER.format(""), long(F.row_number().over(_BY_CUST)))
-_window("w02_rank", "rank() " + _OVER_P, long(F.rank().over(_PRIORITY)))
-_window("w03_dense_rank", "dense_rank() " + _OVER_P, long(F.dense_rank().over(_PRIORITY)))
-_window("w04_ntile", "ntile(4) " + _OVER.format(""), long(F.ntile(4).over(_BY_CUST)))
-_window("w05_percent_rank", f"round(percent_rank() {_OVER_P} + cume_dist() {_OVER_P}, 6)", F.round(F.percent_rank().over(_PRIORITY) + F.cume_dist().over(_PRIORITY), 6))
-_window("w06_lag", "lag(o_orderkey, 1, -1) " + _OVER.format(""), F.lag("o_orderkey", 1, -1).over(_BY_CUST))
-_window("w07_lead", "lead(o_orderkey, 2) " + _OVER.format(""), F.lead("o_orderkey", 2).over(_BY_CUST))
-_window("w08_first_value", "first_value(o_orderkey) " + _OVER.format(""), F.first("o_orderkey").over(_BY_CUST))
-_window("w09_last_value", "last_value(o_orderkey) " + _OVER.format(_FULL), F.last("o_orderkey").over(_BY_CUST.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-_window("w10_rows_frame", "sum(o_totalprice::DECIMAL(18,2)) " + _OVER.format(" ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING") + "::DOUBLE", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(_BY_CUST.rowsBetween(-2, 1)).cast("double"))
-_window("w12_nth_value", "nth_value(o_orderkey, 2) " + _OVER.format(_FULL), F.nth_value("o_orderkey", 2).over(_BY_CUST.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+_window("w01_row_number", "row_number() " + _OVER.format(""), lambda: long(F.row_number().over(_by_cust())))
+_window("w02_rank", "rank() " + _OVER_P, lambda: long(F.rank().over(_by_priority())))
+_window("w03_dense_rank", "dense_rank() " + _OVER_P, lambda: long(F.dense_rank().over(_by_priority())))
+_window("w04_ntile", "ntile(4) " + _OVER.format(""), lambda: long(F.ntile(4).over(_by_cust())))
+_window("w05_percent_rank", f"round(percent_rank() {_OVER_P} + cume_dist() {_OVER_P}, 6)", lambda: F.round(F.percent_rank().over(_by_priority()) + F.cume_dist().over(_by_priority()), 6))
+_window("w06_lag", "lag(o_orderkey, 1, -1) " + _OVER.format(""), lambda: F.lag("o_orderkey", 1, -1).over(_by_cust()))
+_window("w07_lead", "lead(o_orderkey, 2) " + _OVER.format(""), lambda: F.lead("o_orderkey", 2).over(_by_cust()))
+_window("w08_first_value", "first_value(o_orderkey) " + _OVER.format(""), lambda: F.first("o_orderkey").over(_by_cust()))
+_window("w09_last_value", "last_value(o_orderkey) " + _OVER.format(_FULL), lambda: F.last("o_orderkey").over(_whole()))
+_window("w10_rows_frame", "sum(o_totalprice::DECIMAL(18,2)) " + _OVER.format(" ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING") + "::DOUBLE", lambda: F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(_by_cust().rowsBetween(-2, 1)).cast("double"))
+_window("w12_nth_value", "nth_value(o_orderkey, 2) " + _OVER.format(_FULL), lambda: F.nth_value("o_orderkey", 2).over(_whole()))
 
 _RANGE = "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events"
 
