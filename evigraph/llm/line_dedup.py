@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, documents
+from ._common import WORD, as_table, documents
 
 KEY = ["kn", "kd", "kt"]
 
@@ -120,13 +120,16 @@ def later_copies(keyed: DataFrame, text_col: str, min_words: int) -> DataFrame:
 
     ``cut`` is a flag for each line up to the last one to delete.
     """
-    lines = line_rows(keyed, text_col)
     place = F.struct("kn", "kd", "kt", "no")
-    repeated = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Each is read more than once. The repeated ids are tables as well: both
+    # sides of the joins are then plain shuffles, of which a very common line's
+    # part can be split.
+    lines = as_table(line_rows(keyed, text_col))
+    repeated = as_table(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     ones = lines.join(repeated, ["h1", "h2"])
-    stretches = ones.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("no", "h1", "h2", "words", (place > F.col("first")).alias("later")))).alias("lines"))
-    names = stretches.mapInArrow(_windows, "size int, h1 long, h2 long, kn boolean, kd long, kt long, no int")
-    first = names.groupBy("size", "h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stretches = as_table(ones.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("no", "h1", "h2", "words", (place > F.col("first")).alias("later")))).alias("lines")))
+    names = as_table(stretches.mapInArrow(_windows, "size int, h1 long, h2 long, kn boolean, kd long, kt long, no int"))
+    first = as_table(names.groupBy("size", "h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     wide = names.join(first, ["size", "h1", "h2"]).where(place > F.col("first")).select(*KEY, "no", "size", F.lit(0).alias("words"))
     single = stretches.select(*KEY, F.explode("lines").alias("l")).where("l.later").select(*KEY, "l.no", F.lit(1).alias("size"), F.col("l.words").cast("int").alias("words"))
     found = single.unionByName(wide).groupBy(*KEY).agg(F.collect_list(F.struct("no", "size", "words")).alias("found"))

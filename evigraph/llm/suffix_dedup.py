@@ -397,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     raw = raw.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     hashed = as_table(raw.where(F.length("text") >= length).select("batch", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha")))
-    firsts = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = as_table(hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))  # a table, so that the join can split a very common text
     later = F.col("doc_id").isNull() & F.col("first").isNotNull() | (F.col("doc_id") > F.col("first"))
     copies = hashed.join(firsts, "sha").where(later).select("batch", F.lit(-1).alias("part"), F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("id")).alias("s"))
     copies = as_table(copies.groupBy("batch", "part").agg(F.collect_list("s.id").alias("ids")).select("batch", "part", F.lit(b"").alias("blob"), "ids"))
