@@ -115,11 +115,14 @@ class LabelModel:
         return np.where(fired.any(axis=1), 1 / (1 + np.exp(-np.clip(z, -50, 50))), self.silent)
 
 
-def correlated_groups(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-    """The group of each voter: linked where the class leaves a correlation."""
+def correlated_groups(votes: np.ndarray, post: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The group of each voter: linked where the class leaves a correlation.
+
+    A row of votes stands for ``times`` texts.
+    """
     size = votes.shape[1]
     cov = np.zeros((size, size))
-    for p in (1 - post, post):
+    for p in ((1 - post) * times, post * times):
         rate = (p @ votes) / max(p.sum(), 1e-9)
         centred = (votes - rate) * np.sqrt(p)[:, None]
         cov += centred.T @ centred
@@ -135,17 +138,19 @@ def correlated_groups(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
         label = new
 
 
-def fit_label_model(votes: np.ndarray, accuracy: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
+def fit_label_model(votes: np.ndarray, accuracy: np.ndarray, prior: float, times: np.ndarray | None = None, rounds: int = 30) -> LabelModel:
     """EM over the votes, started from the accuracies in ``accuracy``.
 
+    A row of votes stands for ``times`` texts, one by default.
     A text with one vote has that voter's accuracy as posterior; agreement of
     groups raises it. Accuracies and groups are estimated in turn.
     """
+    times = np.ones(len(votes)) if times is None else times
     start = np.clip(accuracy, 0.05, 0.99)
     post = np.where(votes.any(axis=1), (votes * start).max(axis=1), prior / 10)
-    group = correlated_groups(votes, post)
+    group = correlated_groups(votes, post, times)
     size = group.max() + 1
-    weight = votes.sum(axis=0)
+    weight = times @ votes
     first = np.bincount(group, start * weight, size) / np.maximum(np.bincount(group, weight, size), 1)
     model = LabelModel(prior, group, np.clip(first, 0.05, 0.99), prior / 10)
     fired = model.fired(votes)
@@ -153,22 +158,22 @@ def fit_label_model(votes: np.ndarray, accuracy: np.ndarray, prior: float, round
         new = model.posterior(votes, fired)
         moved = np.abs(new - post).max(initial=0)
         post = new
-        model.accuracy = np.clip((post @ fired + first) / (fired.sum(axis=0) + 1), 0.05, 0.99)
+        model.accuracy = np.clip(((post * times) @ fired + first) / (times @ fired + 1), 0.05, 0.99)
         if moved < 1e-6:
             break
     return model
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, target: np.ndarray, times: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
     """Logistic regression on soft targets by Newton steps; intercept last."""
     x = np.c_[x, np.ones(len(x))]
     beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * len(x) / 100)
+    penalty = np.full(x.shape[1], ridge * times.sum() / 100)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (target - p) - penalty * beta
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        grad = x.T @ (times * (target - p)) - penalty * beta
+        hess = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(hess, grad)
         beta += step
         if np.abs(step).max() < 1e-8:
@@ -227,14 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_voters
             hits = [sorted(place[w] for w in word_features(set(LETTERS.findall(t.lower()))) if w in place) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(hits, pa.list_(pa.int32()))], ["id", "hits"])
 
-    found = rows.select("id", "text").mapInArrow(run, "id long, hits array<int>").orderBy("id").collect()  # at most max_rows
-    votes = np.zeros((len(found), len(voters)), np.float32)
-    for i, r in enumerate(found):
+    kinds = rows.select("id", "text").mapInArrow(run, "id long, hits array<int>").groupBy("hits").count().orderBy("hits").collect()  # at most max_rows
+    times = np.array([r["count"] for r in kinds], np.float64)
+    votes = np.zeros((len(kinds), len(voters)))
+    for i, r in enumerate(kinds):
         votes[i, r["hits"]] = 1
-    model = fit_label_model(votes.astype(np.float64), np.array([a for _, a in induced]), min(n_toxic / n, 0.5))
+    model = fit_label_model(votes, np.array([a for _, a in induced]), min(n_toxic / n, 0.5), times)
     frame = ToxicityModel(voters, np.zeros(0))
-    x = np.stack([frame.inputs(r["hits"]) for r in found])
-    return ToxicityModel(voters, fit_linear(x, model.posterior(votes)))
+    x = np.stack([frame.inputs(r["hits"]) for r in kinds])
+    return ToxicityModel(voters, fit_linear(x, model.posterior(votes), times))
 
 
 def with_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -64,7 +64,7 @@ def test_groups_of_correlated_voters():
     a = y & (rng.random(2000) < 0.5)
     b = y & (rng.random(2000) < 0.5)
     votes = np.c_[a, a & (rng.random(2000) < 0.95), b].astype(float)
-    group = tx.correlated_groups(votes, y.astype(float))
+    group = tx.correlated_groups(votes, y.astype(float), np.ones(len(y)))
     assert group[0] == group[1] != group[2]
     model = tx.fit_label_model(votes, np.array([0.9, 0.9, 0.9]), 0.3)
     post = model.posterior(votes)
