@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.operators.bounds import broadcast_if_small
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -51,7 +53,8 @@ def locate_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     The second to fifth word of a passage stand whole in any document that holds
     it, so passages of six words or more are joined by those and then checked in
-    full. Shorter ones, which are few, are broadcast and searched for.
+    full. Shorter ones are searched for in every document; they are broadcast
+    if they are few.
     """
     split = lambda c: F.split(F.translate(c, "\n\t\r", "   "), " ")
     marked = passages.select("item_id", F.col("text").alias("passage"), split(F.col("text")).alias("w"))
@@ -62,5 +65,5 @@ def locate_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
     near = keys.join(long_ones, "key").select("item_id", "doc_id", "passage").distinct()
     found = near.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", offset)
     short = marked.where(F.size("w") < 6).select("item_id", "passage")
-    scanned = docs.select("doc_id", "text").join(F.broadcast(short), F.expr("contains(text, passage)")).select("item_id", "doc_id", offset)
+    scanned = docs.select("doc_id", "text").join(broadcast_if_small(short), F.expr("contains(text, passage)")).select("item_id", "doc_id", offset)
     return found.unionByName(scanned).where("offset > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evigraph.errors import IndexUnavailable
 from evigraph.functions.text import tokens
 from evigraph.functions.vectors import cosine
+from evigraph.operators.bounds import broadcast_if_small, fits
 
 #: Most queries that one batch search sends to every executor.
 MAX_QUERIES = 4096
@@ -25,9 +26,10 @@ def _ranked(scores: DataFrame, k: int, ident: str) -> DataFrame:
 def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """``query_id, vec_id, score``: cosine, rounded to six places.
 
-    ``queries`` (query_id, q) is a stated, small set and is broadcast.
+    ``queries`` (query_id, q) is a stated set. It is broadcast up to
+    ``MAX_QUERIES`` rows; a larger one is matched by a blocked product.
     """
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(queries), F.col("query_id") != F.col("vec_id"))
+    pairs = vectors.select("vec_id", "embedding").join(broadcast_if_small(queries, MAX_QUERIES), F.col("query_id") != F.col("vec_id"))
     return pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
@@ -42,11 +44,20 @@ def vector_range(queries: DataFrame, vectors: DataFrame, least: float) -> DataFr
 def vector_topk_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """As ``vector_topk``, by matrix products: each partition sends its best k.
 
-    The queries are collected and must be at most ``MAX_QUERIES``.
+    Up to ``MAX_QUERIES`` queries go to every executor at once; more of them
+    are dealt into blocks of about that size, one after the other.
     """
-    rows = queries.select("query_id", "q").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    if not fits(queries, MAX_QUERIES):
+        blocks = -(-queries.count() // (MAX_QUERIES // 2))
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        parts = [vector_topk_batch(dealt.where(F.col("block") == b).drop("block"), vectors, k) for b in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    rows = queries.select("query_id", "q").orderBy("query_id").collect()
+    if not rows:
+        return vector_topk(queries, vectors, k)
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["q"] for r in rows], np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)

@@ -410,6 +410,13 @@ def g06(t: Tables) -> DataFrame:
     return observed
 
 
+@query("g07_review")
+def g07(t: Tables) -> DataFrame:
+    """Answers reviewed by a model behind the seam; the stand-in repeats the answer."""
+    prompt = F.concat(F.lit("REVIEW:\n"), F.col("query_id").cast("string"), F.lit("\nEVIDENCE:\n"), F.col("answer"))
+    return seams.complete(f04(t).withColumn("prompt", prompt), seams.ExtractiveStub(), out="review").select("query_id", "review")
+
+
 @query("g08_rank_metrics", f"""WITH gold AS (SELECT * FROM {_HITS} WHERE query_id < 5),
 m AS (SELECT h.query_id, rank, (g.doc_id IS NOT NULL)::INT AS rel FROM {_LEX} h LEFT JOIN gold g ON g.query_id = h.query_id AND g.doc_id = h.doc_id),
 p AS (SELECT query_id, max(rel / rank) AS rr, sum(rel) / 10 AS pk, sum(rel / log2(rank + 1)) AS dcg FROM m GROUP BY 1),

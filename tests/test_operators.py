@@ -86,6 +86,15 @@ def test_short_passages_are_found(spark):
     assert got(tx.locate_spans(docs, items)) == [(1, 1, 5), (2, 2, 3)]
 
 
+def test_more_queries_than_a_block(spark, data, monkeypatch):
+    vectors = src.load(spark, data, "embeddings").limit(60)
+    asked = vectors.where("vec_id < 9").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = got(rt.vector_topk(asked, vectors, 3))
+    monkeypatch.setattr(rt, "MAX_QUERIES", 4)
+    assert got(rt.vector_topk_batch(asked, vectors, 3)) == want == got(rt.vector_topk(asked, vectors, 3))
+    assert rt.vector_topk_batch(asked.limit(0), vectors, 3).count() == 0
+
+
 def test_missing_index(spark, tmp_path):
     with pytest.raises(IndexUnavailable) as e:
         src.load_vectors(spark, str(tmp_path / "none"))
