@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +158,10 @@ def radix_groups(words: np.ndarray, group: np.ndarray) -> np.ndarray:
     return label
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Batch:
     """The documents of one batch as one byte array."""
 
@@ -164,8 +169,8 @@ class Batch:
         ids = table["doc_id"].fill_null(int(LAST)).to_numpy()
         texts = table["text"].to_pylist()
         self.order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))  # the same in each round
-        known = set(copies.tolist())
-        self.copy = [int(ids[i]) in known and len(texts[i]) >= length for i in self.order]
+        known = set(map(tuple, copies.reshape(-1, 2).tolist()))  # id and hash: ids may repeat
+        self.copy = [len(texts[i]) >= length and (int(ids[i]), _signed(xxhash.xxh64_intdigest(texts[i], 42))) in known for i in self.order]
         self.ids = ids[self.order]
         self.null = [table["doc_id"][i].as_py() is None for i in self.order]
         self.texts = [texts[i] for i in self.order]
@@ -396,11 +401,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
     parts = batches
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     raw = raw.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    hashed = as_table(raw.where(F.length("text") >= length).select("batch", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha")))
+    hashed = as_table(raw.where(F.length("text") >= length).select("batch", "doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")))
     firsts = as_table(hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))  # a table, so that the join can split a very common text
     later = F.col("doc_id").isNull() & F.col("first").isNotNull() | (F.col("doc_id") > F.col("first"))
-    copies = hashed.join(firsts, "sha").where(later).select("batch", F.lit(-1).alias("part"), F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("id")).alias("s"))
-    copies = as_table(copies.groupBy("batch", "part").agg(F.collect_list("s.id").alias("ids")).select("batch", "part", F.lit(b"").alias("blob"), "ids"))
+    copies = hashed.join(firsts, "sha").where(later).select("batch", F.lit(-1).alias("part"), F.array(F.coalesce("doc_id", F.lit(int(LAST))), F.col("h")).alias("copy"))
+    copies = as_table(copies.groupBy("batch", "part").agg(F.flatten(F.collect_list("copy")).alias("ids")).select("batch", "part", F.lit(b"").alias("blob"), "ids"))
     rows = raw.select("batch", "doc_id", "text")
     empty = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 

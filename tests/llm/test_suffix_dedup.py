@@ -52,6 +52,13 @@ def test_random_copies(spark, length):
     same(sd.remove_repeats(df, length, batch_bytes=2000), [(i, t.encode()) for i, t in docs], length)
 
 
+def test_ids_that_repeat(spark):
+    """A copy doesn't make another text of its id, or of no id, a copy."""
+    a, b, c = "a copied text " * 5, "some other text " * 5, "yet another one " * 6
+    docs = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, b)]
+    same(sd.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")), [(i, t.encode()) for i, t in docs])
+
+
 def test_kept_bytes(spark):
     df = spark.createDataFrame([(1, "x" * 60), (2, "a" + "x" * 60 + "b")], "doc_id long, text string")
     assert {r.doc_id: bytes(r.kept) for r in sd.remove_repeats(df).collect()} == {1: b"x" * 60, 2: b"ab"}
