@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, documents, pieces
+from ._common import WORD, as_table, documents, pieces
 
 #: More shards than this aren't used; their counts have to fit one sort.
 MOST_SHARDS = 16384
@@ -58,13 +58,13 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
 
 
 def token_pieces(docs: DataFrame, max_len: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each piece of each document: ``doc_id, piece, n_tokens``."""
+    """One row for each piece of each document: ``doc_id, piece, n_tokens, salt``."""
     total = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     last = F.greatest(F.ceil(F.col("total") / max_len) - 1, F.lit(0))
     return (
         docs.select(F.col(id_col).alias("doc_id"), total.alias("total"))
         .select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-        .select("doc_id", "piece", F.least(F.col("total") - F.col("piece") * max_len, F.lit(max_len)).cast("long").alias("n_tokens"))
+        .select("doc_id", "piece", F.least(F.col("total") - F.col("piece") * max_len, F.lit(max_len)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("salt"))
     )
 
 
@@ -81,7 +81,7 @@ def pack(docs: DataFrame, max_len: int = 4096, buckets: int = 16, batch_tokens:
     rows and null ids get places of their own. An empty table gives no rows.
     Other columns are ignored.
     """
-    rows = token_pieces(docs, max_len, id_col, text_col)
+    rows = as_table(token_pieces(docs, max_len, id_col, text_col))  # read three times; texts are read once
     spread = rows.groupBy("n_tokens").count().collect()
     spread = sorted((r["n_tokens"], r["count"]) for r in spread)
     lengths, counts = np.array([x for x, _ in spread], np.int64), np.array([n for _, n in spread], np.int64)
@@ -90,9 +90,9 @@ def pack(docs: DataFrame, max_len: int = 4096, buckets: int = 16, batch_tokens:
     bucket = F.lit(len(bounds) - 1)
     for number in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[number], F.lit(number)).otherwise(bucket)
-    shard = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards))
-    rows = rows.select("*", bucket.alias("bucket"), shard.alias("shard"))
-    in_shard = Window.partitionBy("bucket", "shard").orderBy(F.asc_nulls_last("doc_id"), "piece", "n_tokens")
+    shard = F.pmod("salt", F.lit(shards))
+    rows = rows.select("doc_id", "piece", "n_tokens", "salt", bucket.alias("bucket"), shard.alias("shard"))
+    in_shard = Window.partitionBy("bucket", "shard").orderBy(F.asc_nulls_last("doc_id"), "piece", "n_tokens", "salt")
     rows = rows.withColumn("nth", F.row_number().over(in_shard))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("bucket", "shard").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
