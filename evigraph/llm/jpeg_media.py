@@ -21,7 +21,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +127,6 @@ class Image:
     comments: list[bytes]
 
 
-@lru_cache(64)
 def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     """(length, code) of each symbol."""
     out, code, at = {}, 0, 0
@@ -140,6 +138,10 @@ def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return out
 
 
+#: Tables that were read before; images of one source share them.
+_SEEN_TABLES: dict[bytes, dict[tuple[int, int], int]] = {}
+
+
 class _Bits:
     """Bits of a segment without stuffing; ones after its end."""
 
@@ -316,6 +318,7 @@ def read_coefficients(media: bytes) -> Image:
     at, restart = 2, 0
     image = Image(0, 0, {}, {}, [])
     tables: dict[tuple[int, int], dict] = {}
+    seen = _SEEN_TABLES
     while at + 4 <= len(media):
         if media[at] != 0xFF:
             raise ValueError("marker expected")
@@ -340,7 +343,12 @@ def read_coefficients(media: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                tables[body[0] >> 4, body[0] & 15] = _codes(body[1:17], body[17 : 17 + n])
+                spec = body[1 : 17 + n]
+                if spec not in seen:
+                    if len(seen) > 64:
+                        seen.clear()
+                    seen[spec] = _codes(spec[:16], spec[16:])
+                tables[body[0] >> 4, body[0] & 15] = seen[spec]
                 body = body[17 + n :]
         elif marker in (0xC0, 0xC1, 0xC2):
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
