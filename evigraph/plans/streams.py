@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,25 @@ def t02(t: Tables) -> DataFrame:
     return sw.sessions(_events(t))
 
 
+def _drained(t: Tables, make, mode: str) -> DataFrame:
+    """Run the stream that ``make`` builds over the events until it is empty."""
+    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    name = f"stream_{uuid.uuid4().hex}"
+    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return sw.run_once(make(stream), name, mode, f"{folder.rstrip('/')}/{name}")
+
+
+@query("t03_watermark", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY 1, 2")
+def t03(t: Tables) -> DataFrame:
+    return _drained(t, lambda e: sw.tumbling(sw.timed(e)), "complete")
+
+
+@query("t04_stateful", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def t04(t: Tables) -> DataFrame:
+    """Running counts by user; the last update of each stands."""
+    return _drained(t, sw.running_counts, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
 @query("t05_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def t05(t: Tables) -> DataFrame:
     return sw.deduplicated(_events(t).select("user_id", "event_type"), ["user_id", "event_type"])
