@@ -400,7 +400,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
     batches = pieces(total, batch_bytes)
     parts = batches
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    raw = raw.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    raw = raw.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))  # also by text, since an id may repeat
     hashed = as_table(raw.where(F.length("text") >= length).select("batch", "doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")))
     firsts = as_table(hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))  # a table, so that the join can split a very common text
     later = F.col("doc_id").isNull() & F.col("first").isNotNull() | (F.col("doc_id") > F.col("first"))
