@@ -56,13 +56,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     """``text, toxic`` of at most ``max_rows`` labelled rows that aren't held out.
 
     Rows are chosen by a hash of the id. An id with several labels counts as
-    toxic if one of them says so; null labels and ids are left out.
+    toxic if one of them says so, and of several texts the first in order is
+    taken; null labels and ids are left out.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("id")))
     marked = marked.groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
