@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op7_secret_scan": secret_scan.OP7_SQL,

@@ -494,3 +494,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM w),
+s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM f WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum((prev IS NULL OR i > prev + 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM s),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb FROM sp GROUP BY doc_id),
+t AS (SELECT d.doc_id, h, length(h) // 2 AS n, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+  [0] || coalesce(bb, []) AS froms, coalesce(aa, []) || [length(h) // 2] AS tos FROM d LEFT JOIN k ON k.doc_id = d.doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(tos) + 1), lambda i: substr(h, 2 * froms[i] + 1, 2 * (tos[i] - froms[i]))), ''))) AS kept_sha256
+FROM t
+"""
