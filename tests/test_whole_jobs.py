@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from evigraph.plans import PLANS, SQL, runner
@@ -78,3 +79,20 @@ def test_rows_of_the_sql_are_unchanged(spark, data, name):
     want = connect(data).sql(SQL[name])
     got = rows(spark, data, name, *want.columns)
     assert {tuple(plain(v) for v in r) for r in want.fetchall()} <= set(got)
+
+
+def test_every_fiftieth_vector_asks_all(spark, data):
+    stored = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in stored]), np.array([r[1] for r in stored], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top, near = set(), set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = np.round(x @ x[q], 6)
+        near |= {(int(ids[q]), int(v)) for v in ids[(score >= 0.3) & (ids != ids[q])]}
+        order = [v for v in np.lexsort((ids, -score)) if v != q][:5]
+        top |= {(int(ids[q]), int(ids[v])) for v in order}
+    assert {q for q, _ in top} == {int(i) for i in ids if i % 50 == 0}
+    found = lambda name: set(rows(spark, data, name, "query_id", "vec_id"))
+    assert found("d03_vector_topk") == found("d05_vector_topk_batch") == top
+    assert found("d04_vector_range") == near
+    assert len(found("d06_vector_ann") & top) >= 0.9 * len(top)
