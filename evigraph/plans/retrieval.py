@@ -182,7 +182,7 @@ def _asked(t: Tables) -> DataFrame:
 
 @query("d01_embed")
 def d01(t: Tables) -> DataFrame:
-    return seams.embed(tx.chunk(t.documents).where("chunk_no = 0"), seams.HashingEmbedder()).select("doc_id", "embedding")
+    return seams.embed(tx.chunk(t.documents), seams.HashingEmbedder()).select("doc_id", "chunk_no", "embedding")
 
 
 @query("d02_embed_query")

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from evigraph.operators.seams import HashingEmbedder
 from evigraph.plans import PLANS, SQL, runner
 from oracle import connect, plain
 
@@ -96,3 +97,11 @@ def test_every_fiftieth_vector_asks_all(spark, data):
     assert found("d03_vector_topk") == found("d05_vector_topk_batch") == top
     assert found("d04_vector_range") == near
     assert len(found("d06_vector_ann") & top) >= 0.9 * len(top)
+
+
+def test_every_chunk_is_embedded(spark, data):
+    embed = HashingEmbedder().embed
+    want = {(r.doc_id, i): embed(r.text[i * 450 : i * 450 + 500]) for r in spark.read.parquet(f"{data}/documents.parquet").collect() for i in range(max(1, math.ceil((len(r.text) - 50) / 450)))}
+    got = runner(PLANS["d01_embed"])(spark, data).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.chunk_no): r.embedding for r in got} == want
+    assert max(i for _, i in want) > 0
