@@ -126,9 +126,10 @@ def fuse(channels: dict[str, DataFrame], k: int, constant: int = 60) -> DataFram
     return _ranked(scores, k, "doc_id").select("query_id", "rank", "doc_id", "score", "channel")
 
 
-def evidence(hits: DataFrame, docs: DataFrame, width: int = 80) -> DataFrame:
-    """Ranked hits with the head of their source text."""
-    return hits.join(docs.select("doc_id", "source", F.substring("text", 1, width).alias("excerpt")), "doc_id").select("query_id", "rank", "doc_id", "score", "channel", "source", "excerpt")
+def evidence(hits: DataFrame, docs: DataFrame, width: int | None = 80) -> DataFrame:
+    """Ranked hits with the head of their source text; without ``width``, all of it."""
+    text = F.col("text") if width is None else F.substring("text", 1, width)
+    return hits.join(docs.select("doc_id", "source", text.alias("excerpt")), "doc_id").select("query_id", "rank", "doc_id", "score", "channel", "source", "excerpt")
 
 
 def history(conversations: DataFrame, conv_id: int) -> DataFrame:

@@ -341,11 +341,21 @@ def f03(t: Tables) -> DataFrame:
     return rt.evidence(_fused(t), t.documents)
 
 
+def _answered(t: Tables, client: seams.LlmClient) -> DataFrame:
+    """``query_id, doc_id, excerpt, answer``: the best document's whole text is the evidence."""
+    best = rt.evidence(_fused(t).where("rank = 1"), t.documents, None)
+    prompt = F.concat(F.lit("QUESTION:\n"), F.col("query_id").cast("string"), F.lit("\nEVIDENCE:\n"), F.col("excerpt"))
+    return seams.complete(best.withColumn("prompt", prompt), client).select("query_id", "doc_id", "excerpt", "answer")
+
+
+def _reviewed(t: Tables, client: seams.LlmClient) -> DataFrame:
+    prompt = F.concat(F.lit("REVIEW:\n"), F.col("query_id").cast("string"), F.lit("\nANSWER:\n"), F.col("answer"), F.lit("\nEVIDENCE:\n"), F.col("excerpt"))
+    return seams.complete(_answered(t, client).withColumn("prompt", prompt), client, out="review").select("query_id", "review")
+
+
 @query("f04_answers")
 def f04(t: Tables) -> DataFrame:
-    best = rt.evidence(_fused(t).where("rank = 1"), t.documents, 400)
-    prompt = F.concat(F.lit("QUESTION:\n"), F.col("query_id").cast("string"), F.lit("\nEVIDENCE:\n"), F.col("excerpt"))
-    return seams.complete(best.withColumn("prompt", prompt), seams.ExtractiveStub()).select("query_id", "doc_id", "answer")
+    return _answered(t, seams.ExtractiveStub()).select("query_id", "doc_id", "answer")
 
 
 @query("f05_trace", f"SELECT f.query_id AS query_id, f.doc_id AS doc_id, c.chunk_no AS chunk_no, (c.chunk_no * 450)::BIGINT AS start FROM {_FUSED} f JOIN {_CHUNKS} c ON c.doc_id = f.doc_id WHERE rank = 1")
@@ -411,8 +421,7 @@ def g06(t: Tables) -> DataFrame:
 @query("g07_review")
 def g07(t: Tables) -> DataFrame:
     """Answers reviewed by a model behind the seam; the stand-in repeats the answer."""
-    prompt = F.concat(F.lit("REVIEW:\n"), F.col("query_id").cast("string"), F.lit("\nEVIDENCE:\n"), F.col("answer"))
-    return seams.complete(f04(t).withColumn("prompt", prompt), seams.ExtractiveStub(), out="review").select("query_id", "review")
+    return _reviewed(t, seams.ExtractiveStub())
 
 
 @query("g08_rank_metrics", f"""WITH gold AS (SELECT * FROM {_HITS} WHERE query_id < 5),

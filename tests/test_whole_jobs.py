@@ -9,6 +9,8 @@ import pytest
 
 from evigraph.operators.seams import HashingEmbedder
 from evigraph.plans import PLANS, SQL, runner
+from evigraph.plans import retrieval as plans
+from evigraph.sources.tables import Tables
 from oracle import connect, plain
 
 
@@ -105,3 +107,20 @@ def test_every_chunk_is_embedded(spark, data):
     got = runner(PLANS["d01_embed"])(spark, data).collect()
     assert len(got) == len(want) and {(r.doc_id, r.chunk_no): r.embedding for r in got} == want
     assert max(i for _, i in want) > 0
+
+
+def test_prompts_hold_whole_texts(spark, asked):
+    class Echo:
+        def complete(self, prompt: str) -> str:
+            return prompt
+
+    folder, items, docs = asked
+    texts = {d[0]: d[1] for d in docs}
+    assert any(items[3][1] in t and items[3][1] not in t[:400] for t in texts.values())
+    answers = {r.query_id: r for r in plans._answered(Tables(spark, str(folder)), Echo()).collect()}
+    reviews = {r.query_id: r.review for r in plans._reviewed(Tables(spark, str(folder)), Echo()).collect()}
+    assert answers.keys() == reviews.keys() == {q for q, _ in items}
+    for q, r in answers.items():
+        assert r.answer == f"QUESTION:\n{q}\nEVIDENCE:\n{texts[r.doc_id]}"
+        assert reviews[q].endswith(f"\nEVIDENCE:\n{texts[r.doc_id]}")
+    assert all(text in answers[q].answer for q, text in items[:-1])
