@@ -13,6 +13,7 @@ components are found by joins.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -239,6 +240,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORD_RADIUS, BOTH_RADIUS = 18, 32
 #: Rows of a tile, and shingles that a tile's rows may have together.
 SET_TILE_ROWS, SET_TILE_SHINGLES = 16384, 8 << 20
+#: Sets of up to so many shingles are also joined exactly: few shingles make noisy bits.
+SMALL_SET = 64
 KEY = ["kn", "kd", "kt"]
 
 
@@ -335,13 +338,62 @@ def verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: f
     return ok
 
 
+def set_prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in order of hash; similar sets have one of them in common."""
+    n = len(shingles)
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that have the similarity, by exact counts over an inverted index."""
+    sizes = np.array([len(s) for s in sets])
+    values, value = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(value, kind="stable")]
+    ends = np.cumsum(np.bincount(value, minlength=len(values)))
+    begins = np.r_[0, ends[:-1]]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, own in enumerate(np.split(value, np.cumsum(sizes)[:-1])):
+        common = np.bincount(np.concatenate([holder[begins[v] : ends[v]] for v in own]), minlength=len(sets))
+        like = np.flatnonzero(common >= similarity * (sizes[i] + sizes - common))
+        like = like[like > i]
+        left.append(np.full(len(like), i))
+        right.append(like)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def small_links(rows: DataFrame, kinds: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``u, v``: links among the classes of small sets, without candidates by bits."""
+    small = kinds.where((F.col("n") > 0) & (F.col("n") <= SMALL_SET)).select("class", "first.kn", "first.kd", "first.kt")
+    texts = rows.join(small, KEY).dropDuplicates(["class"]).select("class", "text")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
+            heads = [set_prefix(x, similarity) for x in sets]
+            at = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+            keys = np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch["class"].take(pa.array(at)), pa.array([x.tobytes() for x in sets], pa.binary()).take(pa.array(at))], ["key", "class", "shingles"])
+
+    def link(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        a, b = set_links(sets, similarity)
+        label = lowest_label(len(sets), a, b)
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return (group["class"][label[child]], group["class"][child]) if len(child) else None
+
+    dealt = texts.mapInArrow(deal, "key long, class long, shingles binary").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(by_group(["key"], link, ["u", "v"]), "u long, v long")
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``kn, kd, kt`` of every document and the key ``first`` of its class.
 
     Documents are linked if the Jaccard similarity of their sets of ``words``-
     word shingles is ``similarity`` or more, and a class is what links connect.
-    Candidates come from the tiled comparison of two 64-bit fingerprints, and
-    their sets are compared exactly. Tiles hold documents of like size: sets
+    Sets of up to ``SMALL_SET`` shingles are joined by their prefixes, which
+    loses no pair. Candidates of larger ones come from the tiled comparison of
+    two 64-bit fingerprints, which loses a few, and their sets are compared
+    exactly. Tiles hold documents of like size: sets
     whose sizes differ beyond the similarity can't be similar, so only tiles of
     equal or adjacent size bands are compared. Texts without a word are one
     class.
@@ -404,7 +456,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         return group["class"][label[child]], group["class"][child]
 
     links = loaded.mapInArrow(by_group(keys, verify, ["u", "v"]), "u long, v long")
-    roots = connected_components(links)
+    roots = connected_components(links.unionByName(small_links(rows, kinds, words, similarity)))
     placed = kinds.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
     named = placed.drop("first").join(firsts, "root").select("fp", "fp2", "n", "first")
