@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cases import LINE, OTHER, awkward, empty, rows
-from evigraph.llm import line_dedup, mixing, packing, secret_scan, topk, url_filter
+from cases import awkward, empty
+from evigraph.llm import mixing, packing, secret_scan, topk, url_filter
 from evigraph.llm.queries import ORACLE_SQL, QUERIES
 from oracle import assert_same, connect
 
@@ -56,31 +56,6 @@ def test_kd_leaves_are_a_partition():
     assert all(len(v) <= 16 or np.ptp(x[v], axis=0).max() == 0 for v in leaves)
 
 
-# --- lines ------------------------------------------------------------------------
-
-
-def test_lines_awkward(spark):
-    out = line_dedup.dedup_lines(awkward(spark))
-    assert out.columns == [*[c for c in awkward(spark).columns], "n_lines", "n_removed", "n_runs", "longest_window"]
-    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()}
-    assert (1, f"{LINE}\n{OTHER}", 2, 0) in got
-    assert (2, "intro words here\nouttro", 4, 2) in got
-    assert (5, "", 2, 2) in got and (3, None, 0, 0) in got and (4, "", 1, 0) in got
-    assert out.count() == len(rows())
-    assert line_dedup.dedup_lines(empty(spark)).count() == 0
-
-
-def test_runs(spark):
-    """Short lines go only as part of a run that is long enough."""
-    docs = [(1, "a b\nc d\ne f\nx"), (2, "q\na b\nc d\ne f"), (3, "a b\nsomething new"), (4, "e f\nnew too\na b\nc d")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_removed, r.n_runs, r.longest_window) for r in line_dedup.dedup_lines(df).collect()}
-    assert got[1] == ("a b\nc d\ne f\nx", 0, 0, 0)
-    assert got[2] == ("q", 3, 1, 2)
-    assert got[3] == ("a b\nsomething new", 0, 0, 1)
-    assert got[4] == ("e f\nnew too\na b\nc d", 0, 0, 2)
-
-
 # --- mixing -----------------------------------------------------------------------
 
 
