@@ -58,14 +58,98 @@ def test_rows_for_fitting_are_bounded(corpus):
     assert tx.training_rows(docs, labels, 50).count() == 50
 
 
-def test_groups_of_correlated_voters():
-    rng = np.random.default_rng(0)
-    y = rng.random(2000) < 0.3
-    a = y & (rng.random(2000) < 0.5)
-    b = y & (rng.random(2000) < 0.5)
-    votes = np.c_[a, a & (rng.random(2000) < 0.95), b].astype(float)
-    group = tx.correlated_groups(votes, y.astype(float), np.ones(len(y)))
-    assert group[0] == group[1] != group[2]
-    model = tx.fit_label_model(votes, np.array([0.9, 0.9, 0.9]), 0.3)
-    post = model.posterior(votes)
-    assert post[a & b].min() >= post[a & ~b].max() > post[~a & ~b].max()
+def planted_votes(says, n=20000, prior=0.3, seed=0):
+    """Votes of independent voters with these rates, a tenth of them silent."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < prior).astype(int)
+    says = np.asarray(says)
+    votes = np.where(rng.random((n, len(says))) < says[:, y].T, 1, -1)
+    return y, np.where(rng.random(votes.shape) < 0.1, 0, votes)
+
+
+def test_planted_accuracies_are_found_without_labels():
+    says = [(0.05, 0.8), (0.1, 0.6), (0.02, 0.4), (0.2, 0.7), (0.01, 0.3)]
+    y, votes = planted_votes(says)
+    model = tx.fit_label_model(votes, 0.3)
+    assert np.abs(model.says - says).max() < 0.03
+    assert (model.weight > 0.9).all()
+    assert np.mean((model.posterior(votes) >= 0.5) == y) > 0.93
+
+
+def test_planted_correlation_is_found_without_labels():
+    says = [(0.05, 0.8), (0.1, 0.6), (0.08, 0.7), (0.2, 0.7)]
+    _, votes = planted_votes(says)
+    rng = np.random.default_rng(5)
+    shadow = np.where(rng.random(len(votes)) < 0.95, votes[:, 1], -1)  # mostly repeats voter 1
+    model = tx.fit_label_model(np.c_[votes, shadow], 0.3)
+    assert model.correlation[1, 4] > 0.7
+    others = [model.correlation[i, j] for i in range(4) for j in range(i)]
+    assert max(others) < 0.15
+    assert model.weight[1] < 0.65 and model.weight[4] < 0.65 and model.weight[0] > 0.85
+
+
+def likelihood(votes, prior, says):
+    """Log-likelihood of the votes under independent voters."""
+    total = 0.0
+    for v in votes:
+        parts = [1 - prior, prior]
+        for j, x in enumerate(v):
+            for c in (0, 1):
+                parts[c] *= says[j][c] if x > 0 else 1 - says[j][c] if x < 0 else 1
+        total += np.log(sum(parts))
+    return total
+
+
+def test_em_reaches_the_greatest_likelihood():
+    """Against a search of the whole grid of rates for three voters."""
+    says = [(0.1, 0.8), (0.1, 0.7), (0.2, 0.9)]
+    _, votes = planted_votes(says, 120, 0.4, 3)
+    model = tx.fit_label_model(votes, 0.4, prior_votes=0.0, rounds=2000)
+    model.weight[:] = 1
+    grid = np.arange(0.05, 1, 0.15)
+    low, high = np.meshgrid(grid, grid, indexing="ij")
+    one = np.stack([low.ravel(), high.ravel()], 1)  # rates of one voter
+    kinds, times = np.unique(votes, axis=0, return_counts=True)
+
+    def terms(c):  # kind x candidate, for each voter
+        return [np.where(kinds[:, j, None] > 0, one[:, c], np.where(kinds[:, j, None] < 0, 1 - one[:, c], 1.0)) for j in range(3)]
+
+    clean, toxic = terms(0), terms(1)
+    total = sum(
+        t * np.log(0.6 * clean[0][k][:, None, None] * clean[1][k][None, :, None] * clean[2][k] + 0.4 * toxic[0][k][:, None, None] * toxic[1][k][None, :, None] * toxic[2][k])
+        for k, t in enumerate(times)
+    )
+    assert likelihood(votes, 0.4, model.says) >= total.max() - 0.5
+
+
+def test_voters_have_both_polarities():
+    voters = [frozenset({"vile"}), frozenset({"^zork"})]
+    silent = [0] * len(tx.PATTERNS)
+    assert tx.cast_votes("a vile zorkling " + "word " * 30, voters) == [1, 1, *silent]
+    assert tx.cast_votes("plain word " * 30, voters) == [-1, -1, *silent]
+    assert tx.cast_votes("too short", voters) == [0, 0, *silent]
+    assert tx.cast_votes("", voters) == [0, 0, *silent]
+
+
+def test_linear_model_is_the_penalised_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 4)) < 0.4
+    target, times = rng.random(60), rng.integers(1, 4, 60).astype(float)
+    row, col = np.nonzero(x)
+    beta = tx.fit_linear(row, col, 4, target, times)
+    p = 1 / (1 + np.exp(-(x @ beta[:4] + beta[4])))
+    assert np.abs(x.T @ (times * (target - p)) - 0.05 * beta[:4]).max() < 1e-5
+    assert abs((times * (target - p)).sum()) < 1e-5
+
+
+def test_best_shift():
+    z, y = np.array([-3.0, -1.0, 1.0, 2.0]), np.array([0, 0, 1, 1])
+    assert tx.best_shift(z, y) == pytest.approx(0.0)
+    assert tx.best_shift(z + 5, y) == pytest.approx(-5.0)
+    assert tx.best_shift(np.zeros(0), np.zeros(0)) == 0
+
+
+def test_ids_that_are_not_numbers(spark, corpus):
+    docs, labels = (d.withColumn("doc_id", F.concat(F.lit("n"), "doc_id")) for d in corpus)
+    got = tx.toxicity(docs, labels).join(labels, "doc_id")
+    assert got.where("predicted = toxic").count() > 0.97 * got.count()
