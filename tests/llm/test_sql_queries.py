@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import awkward, empty
-from evigraph.llm import mixing, packing, secret_scan, topk, url_filter
+from evigraph.llm import mixing, packing, secret_scan, url_filter
 from evigraph.llm.queries import ORACLE_SQL, QUERIES
 from oracle import assert_same, connect
 
@@ -15,47 +15,6 @@ def test_same_as_sql(spark, data, name):
     assert assert_same(QUERIES[name](spark, data), connect(data), ORACLE_SQL[name]) > 0
 
 
-# --- top-k ------------------------------------------------------------------------
-
-
-def brute_topk(rows_, k):
-    out = []
-    for q, v in rows_:
-        if q is None or q % 20 or v is None:
-            continue
-        scored = sorted((-int(np.dot(v, w)), i) for i, w in rows_ if i != q and i is not None)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
-    return sorted(out)
-
-
-@pytest.mark.parametrize("shard", [7, 10000])
-def test_topk_ties_and_shards(spark, shard):
-    rng = np.random.default_rng(2)
-    vectors = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(90)] + [(i, [1.0, 0, 0, 0, 0]) for i in range(90, 150)]
-    df = spark.createDataFrame([(i, [float(x) / 64 for x in v]) for i, v in vectors], "vec_id long, embedding array<float>")
-    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, 6, shard_rows=shard, block_rows=3)
-    assert sorted(tuple(r) for r in got.collect()) == brute_topk(vectors, 6)
-
-
-def test_topk_awkward(spark):
-    nan, inf = float("nan"), float("inf")
-    vectors = [(0, [1.0, 2.0]), (20, None), (40, [nan, 1.0]), (60, [1.0, None]), (None, [1.0, 1.0]), (5, [2.0]), (6, []), (7, [inf, 0.0]), (8, [1.0, 1.0])]
-    df = spark.createDataFrame([(i, v, 1, 1) for i, v in vectors], "vec_id long, embedding array<float>, row int, rank int")
-    got = topk.exact_topk(df, F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()
-    assert [tuple(r) for r in got] == [(0, 1, 8, 64 * 64 * 3), (0, 2, 5, 64 * 64 * 2), (0, 3, 6, 0)]
-    assert topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
-    big = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="too large"):
-        topk.exact_topk(big, F.lit(True)).collect()
-
-
-def test_kd_leaves_are_a_partition():
-    x = np.random.default_rng(1).integers(0, 3, (500, 4)).astype(float)
-    leaves = topk.kd_leaves(x, 16)
-    assert sorted(np.concatenate(leaves).tolist()) == list(range(500))
-    assert all(len(v) <= 16 or np.ptp(x[v], axis=0).max() == 0 for v in leaves)
-
-
 # --- mixing -----------------------------------------------------------------------
 
 
