@@ -17,10 +17,16 @@ anchor is. The work runs in three rounds over batches of documents:
    and each learns the smallest document id that has it.
 3. Each batch deletes the bytes of windows that a smaller document id has.
 
+At the edges of a very common passage every document has another context of the
+same anchor. An anchor that occurs in ``HOT`` batches, or ``HOT`` times in one, is
+therefore not sent by its contexts: each of its windows goes, by a hash of 128
+bits and once for equal windows of a batch, to a reducer of its own hash. No
+anchor has more than ``HOT`` times ``HOT`` contexts in a reducer then.
+
 Copies of whole documents are found by their hash beforehand; only the first of
-them takes part. What batches send and learn is packed into byte strings, one
-for each batch and reducer, and equal contexts are merged in a batch, so the
-anchors of a very common passage are no large group.
+them takes part, and texts that are too short for a window stay out of all this.
+What batches send and learn is packed into byte strings, one for each batch and
+reducer that shares an anchor, so there are never more of them than anchors.
 """
 
 from __future__ import annotations
@@ -41,6 +47,10 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 FP_BYTES = 5
 #: Stands for a null document id: after all others.
 LAST = np.int64(2**63 - 1)
+#: An anchor in so many batches, or so many times in a batch, is sent by windows.
+HOT = 32
+#: Batches whose share of the anchors goes to one reducer.
+BATCHES_OF_PART = 4
 
 
 def kgram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -98,14 +108,14 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, k: int, piece: i
         stop = min(start + piece, len(data) - length + 1)
         left = max(0, start - w)
         right = min(len(data), stop + length + w)
-        h = kgram_hashes(data[left:right], k)
+        h = np.maximum(kgram_hashes(data[left:right], k), np.uint64(1))  # zero stands for no window
         least = sliding(h, w, np.minimum)
         ok = _inside(ends, left, len(least), length)
         value = np.where(ok, least, np.uint64(0))
         # a k-gram is an anchor if a window that holds it has its hash as least
         padded = np.concatenate([np.zeros(w - 1, np.uint64), value, np.zeros(w - 1, np.uint64)])
         top = sliding(padded, w, np.maximum)[: len(h)]
-        at = np.flatnonzero((top == h) & (h > 0))
+        at = np.flatnonzero(top == h)
         grid = at[:, None] + np.arange(1 - w, 1)[None, :]
         good = (grid >= 0) & (grid < len(value))
         same = good & (value[np.clip(grid, 0, len(value) - 1)] == h[at][:, None])
@@ -188,19 +198,144 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _repeated(batch: Batch, anchors: Anchors, notes: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes in ascending order, and which of them are repeated."""
+def _pack_fingerprints(hashes: np.ndarray, many: np.ndarray) -> bytes:
+    """Five bytes for each hash, and a bit for those that occur often here."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :FP_BYTES].tobytes() + np.packbits(many).tobytes()
+
+
+def match_fingerprints(blobs: list[bytes]) -> list[bytes]:
+    """For the fingerprints that the batches sent to a reducer: a bit for each
+    that another batch has too, and one for each that is hot."""
+    counts = [8 * len(b) // (8 * FP_BYTES + 1) for b in blobs]
+    wide = np.zeros((sum(counts), 8), np.uint8)
+    wide[:, :FP_BYTES] = np.frombuffer(b"".join(b[: FP_BYTES * n] for b, n in zip(blobs, counts, strict=True)), np.uint8).reshape(-1, FP_BYTES)
+    many = [np.unpackbits(np.frombuffer(b, np.uint8, -1, FP_BYTES * n), count=n) for b, n in zip(blobs, counts, strict=True)]
+    _, where, size = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+    hot = (size >= HOT) | (np.bincount(where, np.concatenate(many), len(size)) > 0)
+    cuts = np.cumsum(counts)[:-1]
+    parts = zip(np.split((size > 1)[where], cuts), np.split(hot[where], cuts), strict=True)
+    return [np.packbits(twice).tobytes() + np.packbits(often).tobytes() for twice, often in parts]
+
+
+def _repeated(batch: Batch, anchors: Anchors, notes: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchor hashes in ascending order, which of them are repeated,
+    and which are hot."""
     distinct, where = np.unique(anchors.hash, return_inverse=True)
     doc = batch.doc_of(anchors.at)
     low, high = np.full(len(distinct), len(batch.ids)), np.full(len(distinct), -1)
     np.minimum.at(low, where, doc)
     np.maximum.at(high, where, doc)
-    known = low != high
+    known, hot = low != high, np.zeros(len(distinct), bool)
     bounds = np.searchsorted(_part_of(distinct, parts), np.arange(parts + 1))
     for p, bits in notes.items():
         a, b = bounds[p], bounds[p + 1]
-        known[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    return distinct, known
+        flags = np.frombuffer(bits, np.uint8).reshape(2, -1)
+        known[a:b] |= np.unpackbits(flags[0], count=b - a).astype(bool)
+        hot[a:b] = np.unpackbits(flags[1], count=b - a)
+    return distinct, known, hot & known
+
+
+@dataclass
+class Windows:
+    """The distinct windows of hot anchors, ascending by their two hashes.
+
+    ``start`` and ``window`` pair each occurrence (a position) with its window."""
+
+    hash: np.ndarray
+    other: np.ndarray
+    least: np.ndarray  # smallest and largest document id in this batch
+    most: np.ndarray
+    start: np.ndarray
+    window: np.ndarray
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each ``low`` to its ``high``."""
+    size = high - low + 1
+    return np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(low) else np.zeros(0, np.int64)
+
+
+def windows_of(batch: Batch, anchors: Anchors, distinct: np.ndarray, hot: np.ndarray, length: int, step: int = 1 << 17) -> Windows:
+    """The windows of the hot anchors; equal ones are merged."""
+    of = np.flatnonzero(hot[np.searchsorted(distinct, anchors.hash)])
+    start = np.unique(_ranges(anchors.low[of], anchors.high[of]))
+    one, two = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    for i in range(0, len(start), step):
+        some = start[i : i + step]
+        words = _window_words(batch.data, some, np.full(len(some), length), _digits(length))
+        for h, m, turn in ((one, M1, 31), (two, M2, 29)):
+            x = np.full(len(some), m ^ np.uint64(length))
+            for word in words.T:
+                x = (x ^ word) * m
+                x ^= x >> np.uint64(turn)
+                x = (x << np.uint64(turn) | x >> np.uint64(64 - turn)) * (m ^ np.uint64(0x2545F4914F6CDD1C))
+            h[i : i + step] = x ^ (x >> np.uint64(32))
+    order = np.lexsort((two, one))
+    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
+    window = np.empty(len(order), np.int64)
+    window[order] = np.cumsum(new) - 1
+    ids = batch.ids[batch.doc_of(start)]
+    least, most = np.full(new.sum(), LAST), np.full(new.sum(), -LAST)
+    np.minimum.at(least, window, ids)
+    np.maximum.at(most, window, ids)
+    return Windows(one[order][new], two[order][new], least, most, start, window)
+
+
+def _pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids as differences to the least: base and width, and the numbers."""
+    base = int(ids.min()) if len(ids) else 0
+    near = ids - base
+    wide = np.int64 if len(near) and near.max() >= 2**32 else np.uint32
+    return np.array([base, np.dtype(wide).itemsize], np.int64).tobytes(), near.astype(wide).tobytes()
+
+
+def _unpack_ids(blob: bytes, at: int, n: int, base: int, width: int) -> np.ndarray:
+    return np.frombuffer(blob, np.int64 if width == 8 else np.uint32, n, at).astype(np.int64) + base
+
+
+def _pack_windows(found: Windows, a: int, b: int) -> bytes:
+    head, ids = _pack_ids(found.least[a:b])
+    return np.int64(b - a).tobytes() + head + found.hash[a:b].tobytes() + found.other[a:b].tobytes() + (found.most[a:b] > found.least[a:b]).tobytes() + ids
+
+
+def smallest_of_windows(blobs: list[bytes]) -> list[bytes]:
+    """For the windows that the batches sent to a reducer: those that have a
+    smaller id elsewhere or several ids in the batch, with the smallest id."""
+    parts = []
+    for blob in blobs:
+        n, base, width = (int(x) for x in np.frombuffer(blob, np.int64, 3))
+        one, two = np.frombuffer(blob, np.uint64, 2 * n, 24).reshape(2, n)
+        parts.append((one, two, np.frombuffer(blob, bool, n, 24 + 16 * n), _unpack_ids(blob, 24 + 17 * n, n, base, width)))
+    one, two, several, own = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((two, one))
+    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    least = np.full(new.sum(), LAST)
+    np.minimum.at(least, kind, own)
+    replies, start = [], 0
+    for p in parts:
+        here = slice(start, start + len(p[0]))
+        told = np.flatnonzero((least[kind[here]] < own[here]) | several[here])
+        head, ids = _pack_ids(least[kind[here]][told])
+        replies.append(np.int64(len(told)).tobytes() + head + told.astype(np.uint32).tobytes() + ids)
+        start = here.stop
+    return replies
+
+
+def _apply_windows(batch: Batch, found: Windows, replies: dict[int, bytes], parts: int, length: int) -> np.ndarray:
+    """Marks of the bytes to delete for windows of hot anchors, as differences."""
+    least = np.full(len(found.hash), LAST)
+    bounds = np.searchsorted(_part_of(found.hash, parts), np.arange(parts + 1))
+    for p, blob in replies.items():
+        n, base, width = (int(x) for x in np.frombuffer(blob, np.int64, 3))
+        told = np.frombuffer(blob, np.uint32, n, 24).astype(np.int64) + bounds[p]
+        least[told] = _unpack_ids(blob, 24 + 4 * n, n, base, width)
+    hit = found.start[least[found.window] < batch.ids[batch.doc_of(found.start)]]
+    gone = np.zeros(len(batch.data) + 1, np.int32)
+    gone[hit] += 1  # positions are distinct
+    gone[hit + length] -= 1
+    return gone
 
 
 @dataclass
@@ -350,7 +485,7 @@ def smallest_ids(blobs: list[bytes], length: int) -> list[bytes]:
 
 
 def _apply(batch: Batch, anchors: Anchors, found: Contexts, replies: dict[int, bytes], parts: int, length: int) -> np.ndarray:
-    """Marks of the bytes to delete."""
+    """Marks of the bytes to delete, as differences."""
     gone = np.zeros(len(batch.data) + 1, np.int32)
     bounds = np.searchsorted(_part_of(found.hash, parts), np.arange(parts + 1))
     by_context = np.argsort(found.context, kind="stable")
@@ -379,7 +514,7 @@ def _apply(batch: Batch, anchors: Anchors, found: Contexts, replies: dict[int, b
         begin = anchors.low[who[hit]] + shift[run[hit]]
         np.add.at(gone, begin, 1)
         np.add.at(gone, begin + width[run[hit]] - 1 + length, -1)
-    return np.cumsum(gone[:-1]) > 0
+    return gone
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -398,7 +533,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
     k = length // 2
     total = text_bytes(docs, text_col)
     batches = pieces(total, batch_bytes)
-    parts = batches
+    parts = pieces(batches, BATCHES_OF_PART)
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     raw = raw.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))  # also by text, since an id may repeat
     hashed = as_table(raw.where(F.length("text") >= length).select("batch", "doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("sha")))
@@ -406,7 +541,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
     later = F.col("doc_id").isNull() & F.col("first").isNotNull() | (F.col("doc_id") > F.col("first"))
     copies = hashed.join(firsts, "sha").where(later).select("batch", F.lit(-1).alias("part"), F.array(F.coalesce("doc_id", F.lit(int(LAST))), F.col("h")).alias("copy"))
     copies = as_table(copies.groupBy("batch", "part").agg(F.flatten(F.collect_list("copy")).alias("ids")).select("batch", "part", F.lit(b"").alias("blob"), "ids"))
-    rows = raw.select("batch", "doc_id", "text")
+    rows = raw.where(F.length("text") >= length).select("batch", "doc_id", "text")
     empty = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 
     def read(key, table: pa.Table, notes: pa.Table):
@@ -422,39 +557,37 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
         if not table.num_rows:
             return empty.empty_table()
         batch, anchors, _, _ = read(key, table, notes)
-        distinct = np.unique(anchors.hash)
+        distinct, times = np.unique(anchors.hash, return_counts=True)
         bounds = np.searchsorted(_part_of(distinct, parts), np.arange(parts + 1))
-        small = distinct.view(np.uint8).reshape(-1, 8)[:, :FP_BYTES]
-        used = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-        return out(key[0].as_py(), used, [small[bounds[p] : bounds[p + 1]].tobytes() for p in used])
+        used = np.flatnonzero(np.diff(bounds)).tolist()
+        blobs = [_pack_fingerprints(distinct[bounds[p] : bounds[p + 1]], times[bounds[p] : bounds[p + 1]] >= HOT) for p in used]
+        return out(key[0].as_py(), used, blobs)
 
     def match(table: pa.Table) -> pa.Table:
         table = table.sort_by("batch")
-        blobs = table["blob"].to_pylist()
-        counts = [len(b) // FP_BYTES for b in blobs]
-        wide = np.zeros((sum(counts), 8), np.uint8)
-        wide[:, :FP_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FP_BYTES)
-        fps = wide.view(np.uint64).ravel()
-        order = np.argsort(fps, kind="stable")
-        same = fps[order][1:] == fps[order][:-1]
-        twice = np.zeros(len(fps), bool)
-        twice[order] = np.r_[False, same] | np.r_[same, False]
-        bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(counts)[:-1])]
+        bits = match_fingerprints(table["blob"].to_pylist())
         return pa.table({"batch": table["batch"], "part": table["part"], "blob": pa.array(bits, pa.binary())})
 
     def send_contexts(key, table: pa.Table, notes: pa.Table) -> pa.Table:
         if not table.num_rows:
             return empty.empty_table()
         batch, anchors, part, blob = read(key, table, notes)
-        distinct, known = _repeated(batch, anchors, {p: b for p, b in zip(part, blob, strict=True) if p >= 0}, parts)
-        found = contexts_of(batch, anchors, distinct, known, length, k)
+        distinct, known, hot = _repeated(batch, anchors, {p: b for p, b in zip(part, blob, strict=True) if p >= 0}, parts)
+        found = contexts_of(batch, anchors, distinct, known & ~hot, length, k)
         bounds = np.searchsorted(_part_of(found.hash, parts), np.arange(parts + 1))
-        used = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-        return out(key[0].as_py(), used, [_pack_contexts(batch, anchors, found, bounds[p], bounds[p + 1], length) for p in used])
+        used = np.flatnonzero(np.diff(bounds)).tolist()
+        sent = [_pack_contexts(batch, anchors, found, bounds[p], bounds[p + 1], length) for p in used]
+        windows = windows_of(batch, anchors, distinct, hot, length)
+        bounds = np.searchsorted(_part_of(windows.hash, parts), np.arange(parts + 1))
+        often = np.flatnonzero(np.diff(bounds)).tolist()
+        sent += [_pack_windows(windows, bounds[p], bounds[p + 1]) for p in often]
+        return out(key[0].as_py(), used + [p + 2 * parts for p in often], sent)
 
     def sort(table: pa.Table) -> pa.Table:
         table = table.sort_by("batch")
-        replies = smallest_ids(table["blob"].to_pylist(), length)
+        blobs = table["blob"].to_pylist()
+        hot = table["part"][0].as_py() >= 2 * parts
+        replies = smallest_of_windows(blobs) if hot else smallest_ids(blobs, length)
         shifted = pa.array([p + parts for p in table["part"].to_pylist()], pa.int32())
         return pa.table({"batch": table["batch"], "part": shifted, "blob": pa.array(replies, pa.binary())})
 
@@ -464,9 +597,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         batch, anchors, part, blob = read(key, table, notes)
-        distinct, known = _repeated(batch, anchors, {p: b for p, b in zip(part, blob, strict=True) if 0 <= p < parts}, parts)
-        found = contexts_of(batch, anchors, distinct, known, length, k)
-        gone = _apply(batch, anchors, found, {p - parts: b for p, b in zip(part, blob, strict=True) if p >= parts}, parts, length)
+        told = [{p - i * parts: b for p, b in zip(part, blob, strict=True) if i * parts <= p < (i + 1) * parts} for i in range(4)]
+        distinct, known, hot = _repeated(batch, anchors, told[0], parts)
+        found = contexts_of(batch, anchors, distinct, known & ~hot, length, k)
+        gone = _apply(batch, anchors, found, told[1], parts, length)
+        gone += _apply_windows(batch, windows_of(batch, anchors, distinct, hot, length), told[3], parts, length)
+        gone = np.cumsum(gone[:-1]) > 0
         result = []
         for i, text in enumerate(batch.texts):
             if batch.copy[i]:
@@ -489,7 +625,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
     sent = of_batch.cogroup(known.groupBy("batch")).applyInArrow(send_contexts, plain)
     sorted_ = with_ids(sent.groupBy("part").applyInArrow(sort, plain))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return of_batch.cogroup(known.unionByName(sorted_).groupBy("batch")).applyInArrow(delete, schema)
+    cut = of_batch.cogroup(known.unionByName(sorted_).groupBy("batch")).applyInArrow(delete, schema)
+    short = raw.where(F.length("text") < length).select(
+        "doc_id", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []),
+    )
+    return cut.unionByName(short)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

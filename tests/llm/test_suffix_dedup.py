@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +86,56 @@ def test_pieces_do_not_matter():
     assert cover(a) == cover(b)
     starts = {s for s, _ in cover(a)}
     assert starts == {s for lo, hi in ((0, 700), (700, 1500), (1500, 3000)) for s in range(lo, hi - 49)}
+
+
+def sent_by_anchor(n, per_batch=20):
+    """Contexts and windows that batches send for documents with one common passage."""
+    rng = random.Random(1)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    docs = [(i, "".join(rng.choice("stuvwxyz ") for _ in range(120)) + passage + "".join(rng.choice("ijklmnop ") for _ in range(120))) for i in range(n)]
+    tables = [pa.table({"doc_id": [i for i, _ in docs[a : a + per_batch]], "text": [t.encode() for _, t in docs[a : a + per_batch]]}) for a in range(0, n, per_batch)]
+    batches = [sd.Batch(t, np.zeros(0, np.int64), 50) for t in tables]
+    anchors = [sd.anchors_of(b.data, b.ends, 50, 25) for b in batches]
+    asked = [np.unique(a.hash, return_counts=True) for a in anchors]
+    replies = sd.match_fingerprints([sd._pack_fingerprints(h, c >= sd.HOT) for h, c in asked])
+    contexts, windows = Counter(), Counter()
+    for b, a, r in zip(batches, anchors, replies, strict=True):
+        distinct, known, hot = sd._repeated(b, a, {0: r}, 1)
+        contexts.update(sd.contexts_of(b, a, distinct, known & ~hot, 50, 25).hash.tolist())
+        found = sd.windows_of(b, a, distinct, hot, 50)
+        windows.update(zip(found.hash.tolist(), found.other.tolist(), strict=True))
+    return max(contexts.values(), default=0), max(windows.values()), len(batches)
+
+
+def test_a_common_passage_is_no_large_group():
+    """No anchor's contexts grow with the documents; a window is sent once by a batch."""
+    for n in (1000, 3000):
+        contexts, windows, batches = sent_by_anchor(n)
+        assert contexts <= sd.HOT**2 and windows == batches
+
+
+def test_common_passages_and_near_copies(spark):
+    """Hot anchors, by batches and within one, give the same result."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, other = word(130), word(400)
+    docs = [(i, word(rng.randint(0, 60)) + passage[rng.randint(0, 5) :] + word(rng.randint(0, 60))) for i in range(200)]
+    for i in range(200, 260):
+        at = rng.randint(0, 390)
+        docs.append((i, other[:at] + word(3) + other[at:]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(i, t.encode()) for i, t in docs]
+    same(sd.remove_repeats(df, batch_bytes=1500), want)
+    same(sd.remove_repeats(df, batch_bytes=1 << 20), want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.booleans()), max_size=70))
+def test_packed_fingerprints(items):
+    hashes, many = np.array([h for h, _ in items], np.uint64), np.array([m for _, m in items], bool)
+    blob = sd._pack_fingerprints(hashes, many)
+    bits = sd.match_fingerprints([blob])[0]
+    hot = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(2, -1)[1] if items else np.zeros(0, np.uint8), count=len(items))
+    low = hashes & np.uint64(2**40 - 1)
+    size = {x: (low == x).sum() for x in low.tolist()}
+    assert hot.tolist() == [int(many[low == x].any() or size[x] >= sd.HOT) for x in low.tolist()]
