@@ -4,13 +4,16 @@ Strong spans are found by three patterns. Weak candidates (named identifiers,
 long mixed tokens and endpoints) are common in harmless text, so they are
 reported only where complementary parts co-occur: spans are joined by interval,
 and a weak identifier needs a secret in its scope, a weak secret an identifier,
-and an endpoint both. The scope of a span is ``SCOPE`` code points to either
-side of its start.
+and an endpoint both, or one of them that has the other in its scope. The scope of a span is its interval and ``SCOPE`` code
+points to either side, so a long part doesn't push its complement away.
 
 Positions come from splitting a text at a pattern: the pieces and the matches
-alternate, so their lengths add up to where each match starts. The interval join
-is a range frame over the spans of a document in order of their starts; it makes
-no pairs and the texts aren't shuffled.
+alternate, so the running sum of their lengths tells where each match ends. The
+interval joins are sweeps over the spans of a document. Of all spans that begin
+up to some point, one reaches an interval that ends there if the largest end
+does, so a running maximum of ends in order of starts answers whether an
+interval is met. That makes no pairs, takes time in proportion to the matches
+(and their sort), and the texts aren't shuffled.
 """
 
 from __future__ import annotations
@@ -43,46 +46,73 @@ WEAK = [
     ("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]+""", 0, 8),
 ]
 KINDS = [k for k, *_ in STRONG + WEAK]
-_SPAN = "array<struct<s:int,e:int,k:int>>"
 
 
-def _spans(text: str, kind: str, pattern: str, group: int, least: int) -> str:
-    """SQL for the spans of one kind; leftmost matches that don't overlap."""
+def _pieces(text: str, kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL for the leftmost matches that don't overlap: their number, the lengths
+    of the piece before and of the match, and whether they are long enough."""
     regex = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    number = KINDS.index(kind)
-    here = f"named_struct('s', acc.at + length(x.`2`), 'e', acc.at + length(x.`2`) + length(x.`0`), 'k', {number})"
     parts = f"arrays_zip(regexp_extract_all({text}, {regex}, 0), regexp_extract_all({text}, {regex}, {group}), split({text}, {regex}, -1))"
-    step = f"named_struct('at', acc.at + length(x.`2`) + length(x.`0`), 'out', if(length(x.`1`) >= {least}, concat(acc.out, array({here})), acc.out))"
-    found = f"aggregate(filter({parts}, x -> x.`0` IS NOT NULL), named_struct('at', 0, 'out', cast(array() AS {_SPAN})), (acc, x) -> {step}, acc -> acc.out)"
-    return f"if({text} RLIKE {regex}, {found}, cast(array() AS {_SPAN}))"
+    piece = f"named_struct('k', {KINDS.index(kind)}, 'i', i, 'before', length(x.`2`), 'own', length(x.`0`), 'ok', length(x.`1`) >= {least})"
+    found = f"transform(filter({parts}, x -> x.`0` IS NOT NULL), (x, i) -> {piece})"
+    return f"if({text} RLIKE {regex}, {found}, cast(array() AS {_PIECES}))"
+
+
+_PIECES = "array<struct<k:int,i:int,before:int,own:int,ok:boolean>>"
+
+
+def _reached(spans: DataFrame, begin: Column, reach: Column, ends: dict[str, Column]) -> DataFrame:
+    """``spans`` with, for each name, the largest of its ``ends`` among the spans
+    of the document that begin (``begin``) at or before ``reach``."""
+    entry = F.struct(begin.alias("at"), F.lit(0).alias("asks"), *[v.alias(n) for n, v in ends.items()])
+    query = F.struct(reach.alias("at"), F.lit(1).alias("asks"), *[F.lit(None).cast("int").alias(n) for n in ends])
+    events = spans.withColumn("event", F.explode(F.array(entry, query)))
+    so_far = Window.partitionBy("row").orderBy("event.at", "event.asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    largest = {n: F.max(f"event.{n}").over(so_far) for n in ends}
+    return events.withColumns(largest).where("event.asks = 1").drop("event")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans`` for each row: ``spans`` is an array of (start, end, kind).
+    """``doc_id, spans`` for each row: ``spans`` is an array of (start, kind, end).
 
     Positions are code points, the end exclusive; spans are in order of start
-    and kind. Weak spans that touch a strong one are left out.
+    and kind. Weak spans that overlap a strong one are left out.
 
     Null and empty texts have no spans. Each row is scanned by itself, so
     repeated rows and null ids keep their rows; an empty table gives none.
     Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    strong = "concat(" + ", ".join(_spans("text", *k) for k in STRONG) + ")"
-    rows = rows.selectExpr("doc_id", "row", "text", f"{strong} AS strong", f"{_spans('text', *WEAK[0])} AS ids")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text)
+    always = ", ".join(_pieces("text", *kind) for kind in [*STRONG, WEAK[0]])
+    rest = ", ".join(_pieces("text", *kind) for kind in WEAK[1:])
     # without an identifier in the text no weak part has its complement
-    rest = "concat(" + ", ".join(_spans("text", *k) for k in WEAK[1:]) + ")"
-    rows = rows.selectExpr("doc_id", "row", "strong", f"if(size(ids) > 0 OR exists(strong, x -> x.k = 1), concat(ids, {rest}), ids) AS weak")
-    free = "filter(weak, w -> NOT exists(strong, x -> x.s < w.e AND x.e > w.s))"
-    none = "named_struct('s', -1000000000, 'e', -1000000000, 'k', -1)"
-    spans = rows.selectExpr("doc_id", "row", f"explode(concat(array({none}), strong, {free})) AS x").select("doc_id", "row", "x.s", "x.e", "x.k")
-    near = Window.partitionBy("row").orderBy("s").rangeBetween(-scope, scope)
-    of = lambda *kinds: F.max(F.col("k").isin([KINDS.index(k) for k in kinds])).over(near)
-    spans = spans.withColumns({"has_id": of("access", "weak_id"), "has_secret": of("assign", "hex", "weak_secret")})
+    names = " OR ".join("text RLIKE '" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in (STRONG[1][1], WEAK[0][1]))
+    none = "array(named_struct('k', -1, 'i', 0, 'before', 0, 'own', 0, 'ok', true))"  # keeps the row
+    found = f"explode(concat({none}, {always}, if({names}, concat({rest}), cast(array() AS {_PIECES})))) AS x"
+    pieces = rows.selectExpr("doc_id", "row", found).select("doc_id", "row", "x.*").repartition("row")
+    until = Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = pieces.withColumn("e", F.sum(F.col("before") + F.col("own")).over(until).cast("int")).where("ok")
     k = F.col("k")
-    linked = (k < len(STRONG)) | ((k == KINDS.index("weak_id")) & F.col("has_secret")) | ((k == KINDS.index("weak_secret")) & F.col("has_id")) | F.col("has_id") & F.col("has_secret")
-    kept = F.when(linked & (k >= 0), F.struct("s", "k", "e"))
-    return spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(kept)).alias("spans")).select("doc_id", "spans")
+    spans = spans.select("doc_id", "row", "k", (F.col("e") - F.col("own")).alias("s"), "e")
+    strong = (k >= 0) & (k < len(STRONG))
+    spans = _reached(spans, F.col("s"), F.col("e") - 1, {"strong": F.when(strong, F.col("e"))})
+    spans = spans.where((k < len(STRONG)) | F.col("strong").isNull() | (F.col("strong") <= F.col("s"))).drop("strong")
+    of = lambda *kinds: F.when(k.isin([KINDS.index(x) for x in kinds]), F.col("e"))
+    ends = {"id_end": of("access", "weak_id"), "secret_end": of("assign", "hex", "weak_secret")}
+    spans = _reached(spans, F.col("s"), F.col("e") + scope, ends)
+    has = lambda name: F.coalesce(F.col(name) >= F.col("s") - scope, F.lit(False))
+    spans = spans.select("doc_id", "row", "k", "s", "e", has("id_end").alias("has_id"), has("secret_end").alias("has_secret"))
+    paired = (of("access", "weak_id").isNotNull() & F.col("has_secret")) | (of("assign", "hex", "weak_secret").isNotNull() & F.col("has_id"))
+    spans = _reached(spans, F.col("s"), F.col("e") + scope, {"pair_end": F.when(paired, F.col("e"))})
+    both = (F.col("has_id") & F.col("has_secret")) | has("pair_end")
+    complement = {"weak_id": F.col("has_secret"), "weak_secret": F.col("has_id"), "endpoint": both}
+    linked = strong
+    for kind, met in complement.items():
+        linked = linked | ((k == KINDS.index(kind)) & met)
+    kept = F.when(linked, F.struct("s", "k", "e"))
+    whole = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(kept)).alias("spans"))
+    return whole.select("doc_id", "spans")
 
 
 def _listed(spans: Column) -> Column:
@@ -118,9 +148,12 @@ m{number} AS (
     return "WITH" + ",".join(parts) + f""",
 strong AS ({strong}), weak AS ({weak}),
 sp AS (SELECT * FROM strong UNION ALL SELECT * FROM weak w WHERE NOT EXISTS (SELECT 1 FROM strong x WHERE x.doc_id = w.doc_id AND x.s < w.e AND x.e > w.s)),
-n AS (SELECT *, bool_or(k IN (1, 3)) OVER near AS has_id, bool_or(k IN (0, 2, 4)) OVER near AS has_secret FROM sp
-  WINDOW near AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
-r AS (SELECT doc_id, s, e, k FROM n WHERE k < 3 OR (k = 3 AND has_secret) OR (k = 4 AND has_id) OR (has_id AND has_secret)),
+n AS (SELECT *,
+  EXISTS (SELECT 1 FROM sp x WHERE x.doc_id = w.doc_id AND x.k IN (1, 3) AND x.s <= w.e + {SCOPE} AND x.e >= w.s - {SCOPE}) AS has_id,
+  EXISTS (SELECT 1 FROM sp x WHERE x.doc_id = w.doc_id AND x.k IN (0, 2, 4) AND x.s <= w.e + {SCOPE} AND x.e >= w.s - {SCOPE}) AS has_secret
+  FROM sp w),
+r AS (SELECT doc_id, s, e, k FROM n WHERE k < 3 OR (k = 3 AND has_secret) OR (k = 4 AND has_id) OR (k = 5 AND (has_id AND has_secret OR EXISTS (
+  SELECT 1 FROM n x WHERE x.doc_id = n.doc_id AND x.s <= n.e + {SCOPE} AND x.e >= n.s - {SCOPE} AND (x.k IN (1, 3) AND x.has_secret OR x.k IN (0, 2, 4) AND x.has_id))))),
 g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS a, count(*) FILTER (WHERE k = 1) AS b, count(*) FILTER (WHERE k = 2) AS c,
   {listed} FILTER (WHERE k < 3) AS base, {listed} AS spans FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
