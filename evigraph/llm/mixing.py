@@ -14,6 +14,8 @@ higher-order functions, and broadcast back.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ TARGETS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14},
     "topic": {"prose": 0.9, "table": 0.04, "symbols": 0.02, "contact": 0.04},
 }
+#: Most cells that targets may span: they are fitted in one row and broadcast.
+MOST_CELLS = 10_000
 #: Sampled tokens as a share of all, and raking steps for each marginal.
 BUDGET, ROUNDS = 0.5, 20
 
@@ -58,7 +62,8 @@ def fit_cells(cells: DataFrame, targets: dict[str, dict[str, float]], budget: fl
     left as it is.
     """
     names = list(targets)
-    maps = ", ".join("map(" + ", ".join(f"'{k}', {v!r}D" for k, v in targets[n].items()) + ")" for n in names)
+    quoted = lambda k: "'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    maps = ", ".join("map(" + ", ".join(f"{quoted(k)}, {float(v)!r}D" for k, v in targets[n].items()) + ")" for n in names)
     key = f"element_at({{}}.k, (i % {len(names)}) + 1)"
     cell = "named_struct('k', c.k, 'tokens', c.tokens, 'cap', c.cap, 't', c.t, 'w', {w})"
     total = "aggregate(cells, 0D, (s, c) -> s + c.tokens)"
@@ -86,6 +91,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     share of all tokens to sample. Where a cell can't supply its weight, its
     probability is 1 and the other cells make up for it as far as they can.
 
+    Targets of more than ``MOST_CELLS`` cells raise ``ValueError``, which bounds
+    what is broadcast. ``residuals`` tells which targets aren't met.
+
     Tokens are words between ASCII white space. Documents of 0 tokens (null and
     empty texts) weigh nothing: those of a cell with tokens get its
     probability, those of a cell without any are always sampled. Null sources
@@ -94,6 +102,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     """
     targets = TARGETS if targets is None else targets
     names = ["source", "lang", "topic"]
+    if math.prod(len(targets[n].keys() | {"*"}) for n in names) > MOST_CELLS:
+        raise ValueError(f"the targets span more than {MOST_CELLS} cells")
     values = [F.col(source_col), F.col(lang_col), topic_of(F.col(text_col)) if topic is None else topic]
     cells = {f"c{i}": category(v, targets[n]) for i, (n, v) in enumerate(zip(names, values, strict=True))}
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -107,6 +117,30 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     )
 
 
+def residuals(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """How far each marginal is from its target: ``marginal, category, target,
+    share, residual, supply``.
+
+    ``mixed`` comes from ``mix``. ``share`` is the category's part of the
+    expected tokens, ``supply`` its tokens over what the target asks of the
+    expected total: below 1, the target can't be met at this budget whatever the
+    other categories do. A row for each category with a target or documents.
+    """
+    targets = TARGETS if targets is None else targets
+    names = ["source", "lang", "topic"]
+    weight = (F.col("probability") * F.col("n_tokens")).alias("w")
+    cells = mixed.groupBy(*[F.col(f"mix_{n}").alias(n) for n in names]).agg(F.sum(weight).alias("w"), F.sum("n_tokens").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("marginal"), F.col(n).alias("category")) for n in names])).alias("x")
+    held = cells.select(each, "w", "n").groupBy("x.marginal", "x.category").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    total = held.groupBy("marginal").agg(F.sum("w").alias("total"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("marginal"), F.lit(c).alias("category"), F.lit(float(v)).alias("target")) for n in names for c, v in targets[n].items()]))
+    wanted = mixed.sparkSession.range(1).select(asked.alias("x")).select("x.*")
+    out = held.join(total, "marginal").join(wanted, ["marginal", "category"], "full").join(total.withColumnRenamed("total", "all"), "marginal", "left")
+    target, share = F.coalesce("target", F.lit(0.0)), F.coalesce(F.try_divide("w", "total"), F.lit(0.0))
+    supply = F.try_divide(F.coalesce(F.col("n").cast("double"), F.lit(0.0)), target * F.col("all"))
+    return out.select("marginal", "category", target.alias("target"), share.alias("share"), (share - target).alias("residual"), supply.alias("supply"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
