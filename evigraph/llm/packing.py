@@ -8,21 +8,23 @@ given number of buckets. Batches are then formed inside each bucket: every piece
 is padded to its bucket's boundary, and a batch holds as many as the token
 budget allows.
 
-Pieces are numbered within a bucket in two steps, so that no task sees a whole
-bucket: each bucket is dealt over shards, numbered there, and the shards' counts
-give the offsets.
+Pieces are numbered within a bucket in three steps, so that no task sees a whole
+bucket: each bucket is dealt over shards by a hash of the row, numbered there,
+and the counts of shards, and of blocks of shards, give the offsets. Equal rows
+are counted first and numbered together. The places depend on the rows alone and
+not on how the input is partitioned.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, as_table, documents, pieces
 
-#: More shards than this aren't used; their counts have to fit one sort.
-MOST_SHARDS = 16384
+#: Shards whose counts are summed in one task.
+SHARDS_OF_BLOCK = 4096
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -58,13 +60,18 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list
 
 
 def token_pieces(docs: DataFrame, max_len: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each piece of each document: ``doc_id, piece, n_tokens, salt``."""
+    """The pieces of the documents: ``doc_id, piece, n_tokens, salt, copies``.
+
+    ``salt`` is a hash of id, text and piece; ``copies`` rows have all of them.
+    """
     total = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     last = F.greatest(F.ceil(F.col("total") / max_len) - 1, F.lit(0))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), total.alias("total"))
-        .select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-        .select("doc_id", "piece", F.least(F.col("total") - F.col("piece") * max_len, F.lit(max_len)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("salt"))
+        docs.select(F.col(id_col).alias("doc_id"), total.alias("total"), F.xxhash64(F.col(text_col)).alias("text"))
+        .select("doc_id", "total", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+        .select("doc_id", "piece", F.least(F.col("total") - F.col("piece") * max_len, F.lit(max_len)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "piece", "text").alias("salt"))
+        .groupBy("doc_id", "piece", "n_tokens", "salt")
+        .agg(F.count("*").alias("copies"))
     )
 
 
@@ -77,30 +84,41 @@ def pack(docs: DataFrame, max_len: int = 4096, buckets: int = 16, batch_tokens:
     batch holds ``batch_tokens // bucket_len`` pieces, and one at least.
 
     Tokens are words between ASCII white space. A null or empty text is one
-    piece of 0 tokens. Pieces are numbered by shard, id and piece, so repeated
-    rows and null ids get places of their own. An empty table gives no rows.
+    piece of 0 tokens. Pieces are numbered by shard, id and piece; repeated
+    rows and null ids get places of their own, next to each other. An empty table gives no rows.
     Other columns are ignored.
     """
     rows = as_table(token_pieces(docs, max_len, id_col, text_col))  # read three times; texts are read once
-    spread = rows.groupBy("n_tokens").count().collect()
-    spread = sorted((r["n_tokens"], r["count"]) for r in spread)
+    spread = rows.groupBy("n_tokens").agg(F.sum("copies").alias("n")).collect()  # max_len + 1 rows at most
+    spread = sorted((r["n_tokens"], r["n"]) for r in spread)
     lengths, counts = np.array([x for x, _ in spread], np.int64), np.array([n for _, n in spread], np.int64)
     bounds = bucket_bounds(lengths, counts, buckets) or [0]
-    shards = min(MOST_SHARDS, pieces(int(counts.sum()), shard_rows))
+    shards = pieces(int(counts.sum()), shard_rows)
     bucket = F.lit(len(bounds) - 1)
     for number in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[number], F.lit(number)).otherwise(bucket)
     shard = F.pmod("salt", F.lit(shards))
-    rows = rows.select("doc_id", "piece", "n_tokens", "salt", bucket.alias("bucket"), shard.alias("shard"))
-    in_shard = Window.partitionBy("bucket", "shard").orderBy(F.asc_nulls_last("doc_id"), "piece", "n_tokens", "salt")
-    rows = rows.withColumn("nth", F.row_number().over(in_shard))
-    before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("bucket", "shard").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    block = F.floor(F.col("shard") / SHARDS_OF_BLOCK)
+    rows = rows.select("doc_id", "piece", "n_tokens", "salt", "copies", bucket.alias("bucket"), shard.alias("shard"))
+
+    def sum_before(value: str, within: list[str], order: list) -> Column:
+        earlier = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(earlier), F.lit(0).cast("long"))
+
+    counts = rows.groupBy("bucket", "shard").agg(F.sum("copies").alias("n")).withColumn("block", block)
+    blocks = counts.groupBy("bucket", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("bucket", "block", sum_before("n", ["bucket"], ["block"]).alias("base"))
+    offsets = counts.withColumn("inside", sum_before("n", ["bucket", "block"], ["shard"])).join(blocks, ["bucket", "block"])
+    offsets = offsets.select("bucket", "shard", (F.col("base") + F.col("inside")).alias("before"))
+    order = [F.asc_nulls_last("doc_id"), F.col("piece"), F.col("n_tokens"), F.col("salt")]
+    rows = rows.withColumn("nth", sum_before("copies", ["bucket", "shard"], order))
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
     length = F.element_at(F.array(*[F.lit(b) for b in bounds]), F.col("bucket") + 1).cast("long")
     room = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1))
-    place = (F.col("before") + F.col("nth") - 1).cast("long")
+    place = (F.col("before") + F.col("nth") + F.col("copy")).cast("long")
     return (
         rows.join(offsets, ["bucket", "shard"])
+        .select("doc_id", "piece", "n_tokens", "bucket", "before", "nth", copy)
         .withColumns({"bucket_len": length, "place": place})
         .select("doc_id", "piece", "n_tokens", "bucket", "bucket_len", F.floor(F.col("place") / room).alias("batch"), F.pmod(F.col("place"), room).alias("slot"))
     )
