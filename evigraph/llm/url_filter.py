@@ -12,7 +12,9 @@ unlisted, and so on until no key of the universe is judged wrongly. Level 1 is
 sized so that about as many keys pass it wrongly as are listed, later levels
 err for half of the keys, so all levels together take a few bytes for each
 listed key, however large the corpus is. Applied to a key of the universe the
-answer is exact, and it takes a few hashes and no join.
+answer is exact, and it takes a few hashes and no join. The salt of a level is
+hashed before the key, so keys that collide in one level don't in the next; what
+is judged wrongly after ``MOST_LEVELS`` levels all the same is listed.
 """
 
 from __future__ import annotations
@@ -20,11 +22,20 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import checkpointed
 
+#: Levels of a cascade at most, and keys that may be left then. Every level
+#: halves the keys judged wrongly, so none are left of any corpus there is.
+MOST_LEVELS, MOST_LEFT = 64, 1000
+#: Rules that are broadcast at most, and bytes of one filter.
+MOST_BROADCAST, MOST_BYTES = 100_000, 256 << 20
+#: Bits in a byte of a filter: such bytes are ASCII characters.
+BYTE = 7
+
 #: Fixed values: (host, path prefix, verdict) of the production rules.
 RULES = [
     ("com", "/", "allow"),
@@ -41,38 +52,50 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Level:
     """One Bloom filter: ``words`` holds ``bits`` bits, probed ``hashes`` times."""
 
-    words: tuple[int, ...]
+    words: bytes
     bits: int
     hashes: int
     salt: int
 
 
+@dataclass(frozen=True)
+class Cascade:
+    """The levels, and the keys that they judge wrongly."""
+
+    levels: tuple[Level, ...] = ()
+    left: tuple[str, ...] = ()
+
+
 def _probes(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
     """Bit positions of a key (double hashing)."""
-    first = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(bits))
-    step = F.pmod(F.xxhash64(key, F.lit(salt), F.lit("step")), F.lit(bits))
+    first = F.pmod(F.xxhash64(F.lit(2 * salt), key), F.lit(bits).cast("long"))
+    step = F.pmod(F.xxhash64(F.lit(2 * salt + 1), key), F.lit(bits).cast("long"))
     return [F.pmod(first + step * i, F.lit(bits)) for i in range(hashes)]
 
 
 def bloom_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
     """A Bloom filter of the ``key`` column. Only its words reach the driver."""
     hashes = max(1, round(math.log2(1 / rate)))
-    bits = 64 * max(1, math.ceil(count * hashes / math.log(2) / 64))
+    size = max(8, math.ceil(count * hashes / math.log(2) / BYTE))
+    if size > MOST_BYTES:
+        raise ValueError(f"a filter of {size} bytes is too large for a plan")
+    bits = size * BYTE
     at = keys.select(F.explode(F.array(*_probes(F.col("key"), bits, hashes, salt))).alias("bit"))
-    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
-    words = at.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
-    full = [0] * (bits // 64)
-    for row in words:
+    one = F.expr(f"shiftleft(1, cast(bit % {BYTE} as int))")
+    words = at.groupBy(F.expr(f"bit div {BYTE}").alias("word")).agg(F.bit_or(one).alias("bits"))
+    full = bytearray(size)
+    for row in words.toLocalIterator():  # as many as the filter has bytes, at most
         full[row["word"]] = row["bits"]
-    return Level(tuple(full), bits, hashes, salt)
+    return Level(bytes(full), bits, hashes, salt)
 
 
 def passes(level: Level, key: Column) -> Column:
-    words = F.array(*[F.lit(w).cast("long") for w in level.words])
+    words = F.lit(bytearray(level.words))
     tests = []
     for p in _probes(key, level.bits, level.hashes, level.salt):
-        word = F.element_at(words, (F.floor(p / 64) + 1).cast("int"))
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))
+        at = F.floor(p / BYTE).cast("int")
+        word = F.ascii(F.substring(words, at + 1, F.lit(1)).cast("string"))
+        mask = F.call_function("shiftleft", F.lit(1), (p % BYTE).cast("int"))
         tests.append(word.bitwiseAND(mask) != 0)
     out = tests[0]
     for t in tests[1:]:
@@ -80,7 +103,7 @@ def passes(level: Level, key: Column) -> Column:
     return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
+def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = MOST_LEVELS) -> Cascade:
     """Levels that tell the ``key`` rows of ``listed`` from the rest of ``universe``.
 
     ``listed`` should be part of ``universe``; keys outside it are not looked
@@ -88,22 +111,28 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """
     count = listed.count()
     if not count:
-        return []
+        return Cascade()
     size = max(universe.count(), count)
     right, wrong = listed, universe.join(listed, "key", "left_anti")
     rate = min(0.5, max(count * math.sqrt(0.5) / size, 2.0**-40))
     levels: list[Level] = []
-    while count:
+    while count and len(levels) < most_levels:
         levels.append(bloom_level(right, count, rate, len(levels)))
         errors = wrong.where(passes(levels[-1], F.col("key")))
         right, wrong, rate = checkpointed(errors), right, 0.5
         count = right.count()
-    return levels
+    left = tuple(r["key"] for r in right.orderBy("key").limit(MOST_LEFT + 1).collect()) if count else ()
+    if len(left) > MOST_LEFT:
+        raise ValueError(f"more than {MOST_LEFT} keys are left after {len(levels)} levels")
+    return Cascade(tuple(levels), left)
 
 
-def is_listed(levels: list[Level], key: Column) -> Column:
+def is_listed(cascade: Cascade, key: Column) -> Column:
     """Exact membership of a key of the universe."""
+    levels = cascade.levels
     out = F.lit(len(levels) % 2 == 1)
+    if cascade.left:
+        out = F.when(key.isin(list(cascade.left)), F.lit(len(levels) % 2 == 0)).otherwise(out)
     for number in range(len(levels) - 1, -1, -1):
         out = F.when(~passes(levels[number], key), F.lit(number % 2 == 1)).otherwise(out)
     return out
@@ -124,9 +153,9 @@ def candidate_keys(host: Column, path: Column, rules: list[tuple[str, str, str]]
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def fitting_rules(keys: Column, levels: list[Level], verdict: str) -> Column:
+def fitting_rules(keys: Column, cascade: Cascade, verdict: str) -> Column:
     """The listed ones of a URL's keys, with their length and verdict."""
-    fits = F.filter(keys, lambda key: is_listed(levels, key))
+    fits = F.filter(keys, lambda key: is_listed(cascade, key))
     return F.transform(fits, lambda key: F.struct(F.length(key).alias("n"), key.alias("rule"), F.lit(verdict).alias("verdict")))
 
 
@@ -151,10 +180,11 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = No
     universe = checkpointed(judged.select(F.explode("keys").alias("key")).distinct())
     picked = []
     for verdict in ("allow", "block"):
-        keys = [(h + p,) for h, p, v in rules if v == verdict]
-        listed = universe.join(F.broadcast(spark.createDataFrame(keys, "key string").distinct()), "key", "left_semi")
-        levels = build_cascade(checkpointed(listed), universe)
-        picked.append(fitting_rules(F.col("keys"), levels, verdict))
+        keys = sorted({h + p for h, p, v in rules if v == verdict})
+        table = spark.createDataFrame(pa.table({"key": pa.array(keys, pa.string())}))
+        listed = universe.join(F.broadcast(table) if len(keys) <= MOST_BROADCAST else table, "key", "left_semi")
+        cascade = build_cascade(checkpointed(listed), universe)
+        picked.append(fitting_rules(F.col("keys"), cascade, verdict))
     best = F.array_max(F.concat(*picked))
     return judged.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 

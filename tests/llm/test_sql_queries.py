@@ -1,10 +1,12 @@
 """Registered queries against their SQL, and the awkward cases of each operator."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cases import awkward, empty
+from cases import awkward, empty, rows
 from evigraph.llm import mixing, packing, secret_scan, url_filter
 from evigraph.llm.queries import ORACLE_SQL, QUERIES
 from oracle import assert_same, connect
@@ -39,6 +41,34 @@ def test_mixing_awkward(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_registered_targets(spark, data):
+    """Every marginal is met, or its category can't supply it."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = mixing.residuals(mixing.mix(docs)).collect()
+    assert {(r.marginal, r.category) for r in found} >= {(n, c) for n, t in mixing.TARGETS.items() for c in t}
+    for name in mixing.TARGETS:
+        assert sum(r.share for r in found if r.marginal == name) == pytest.approx(1)
+    assert all(r.residual < 0 for r in found if r.supply is not None and r.supply < 0.999)
+
+
+def test_residuals_vanish_where_targets_can_be_met(spark):
+    docs = [(i, "w " * 10, ["en", "de"][i % 2], f"s{i % 5 // 2}") for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s0": 0.5, "*": 0.5}, "lang": {"en": 0.3, "de": 0.7}, "topic": {"*": 1.0}}
+    found = mixing.residuals(mixing.mix(df, targets, budget=0.3, topic=F.lit("t")), targets).collect()
+    assert len(found) == 5 and all(abs(r.residual) < 1e-6 and r.supply >= 1 for r in found)
+
+
+def test_any_category_names(spark):
+    docs = [(1, "a b", "en", "o'x"), (2, "c d", "e\\n", "p"), (3, "e f", None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"o'x": 0.4, "p": 0.3, "*": 0.3}, "lang": {"e\\n": 0.3, "*": 0.7}, "topic": {"prose": 1.0}}
+    out = {r.doc_id: (r.mix_source, r.mix_lang) for r in mixing.mix(df, targets).collect()}
+    assert out == {1: ("o'x", "*"), 2: ("p", "e\\n"), 3: ("*", "*")}
+    with pytest.raises(ValueError, match="cells"):
+        mixing.mix(df, targets | {"source": {str(i): 0.0 for i in range(9000)}})
+
+
 # --- packing ----------------------------------------------------------------------
 
 
@@ -94,6 +124,15 @@ def test_packing_awkward(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_does_not_depend_on_the_partitions(spark):
+    docs = spark.range(1001).selectExpr("id AS doc_id", "repeat('w ', int(id % 37)) AS text")
+    docs = docs.unionByName(spark.range(300).selectExpr("NULL AS doc_id", "'the same words' AS text"))
+    places = lambda n: sorted(map(tuple, packing.pack(docs.repartition(n), 20, 4, 200, shard_rows=7).collect()), key=str)
+    first = places(1)
+    assert len(first) == len(set(first)) and places(3) == first and places(7) == first
+    check_batches(packing.pack(docs, 20, 4, 200, shard_rows=7).collect(), 200)
+
+
 # --- URLs -------------------------------------------------------------------------
 
 
@@ -123,11 +162,36 @@ def test_cascade_is_exact(spark):
     listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 7)], "key string")
     universe = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string")
     levels = url_filter.build_cascade(listed, universe)
-    assert len(levels) > 1
+    assert len(levels.levels) > 1 and not levels.left
     wrong = universe.join(listed.withColumn("l", F.lit(True)), "key", "left").where(url_filter.is_listed(levels, F.col("key")) != F.coalesce("l", F.lit(False)))
     assert wrong.count() == 0
 
 
+def test_cascade_ends_where_levels_do_not_tell(spark):
+    """Two keys that no level tells apart: here since no second level is allowed."""
+    listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 7)], "key string")
+    universe = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string")
+    cascade = url_filter.build_cascade(listed, universe, most_levels=1)
+    assert len(cascade.levels) == 1 and cascade.left
+    wrong = universe.join(listed.withColumn("l", F.lit(True)), "key", "left").where(url_filter.is_listed(cascade, F.col("key")) != F.coalesce("l", F.lit(False)))
+    assert wrong.count() == 0
+
+
+def test_levels_hash_apart(spark):
+    """Keys that have the same positions in one level have others in the next."""
+    keys = spark.range(3000).selectExpr("concat('k', id) AS key")
+    first, second = (F.concat_ws(",", *url_filter._probes(F.col("key"), 70, 1, salt)) for salt in (0, 1))
+    both = keys.select(first.alias("a"), second.alias("b")).groupBy("a").agg(F.countDistinct("b").alias("n"))
+    assert both.where("n < 10").count() == 0
+
+
+def test_a_million_rules(spark):
+    rules = [(f"h{i}.com", "/", "block") for i in range(1_000_000)] + [("com", "/", "allow")]
+    pages = spark.range(20000).selectExpr("id AS page_id", "concat('http://x.h', id * 100, '.com/') AS url")
+    got = url_filter.url_verdicts(pages, rules).groupBy("verdict").count().collect()
+    assert dict(map(tuple, got)) == {"block": 10000, "allow": 10000}
+
+
 # --- secrets ----------------------------------------------------------------------
 
 
@@ -150,5 +214,28 @@ def test_secrets(spark):
     assert secret_scan.scan(df).count() == 9 and secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_long_parts_stay_linked(spark):
+    """The scope is measured between the spans, not between their starts."""
+    text = "client_id=acct77 " + "Ab3/" * 100 + " https://h.example/x"
+    far = "client_id=acct77 " + "Ab3/" * 10 + " " * 300 + "https://h.example/x"
+    df = spark.createDataFrame([(1, text), (2, far)], "doc_id long, text string")
+    got = {r.doc_id: [(secret_scan.KINDS[x.k], x.s, x.e) for x in r.spans] for r in secret_scan.scan(df).collect()}
+    assert got[1] == [("weak_id", 0, 16), ("weak_secret", 17, 417), ("endpoint", 418, 437)]
+    assert got[2] == [("weak_id", 0, 16), ("weak_secret", 17, 57)]
+
+
+def test_many_matches_in_a_text(spark):
+    """Time is in proportion to the matches: twice as many take about twice as long."""
+    seconds = []
+    for n in (16000, 32000):
+        df = spark.createDataFrame([(1, " ".join(f"token=abcdef{i}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        (row,) = secret_scan.scan(df).collect()
+        seconds.append(time.time() - began)
+        assert len(row.spans) == n
+        assert all(x.s == 0 or x.s == row.spans[i - 1].e + 1 for i, x in enumerate(row.spans))
+    assert seconds[1] < 3 * seconds[0] + 2
+
+
 def test_secrets_awkward(spark):
     assert secret_scan.scan(awkward(spark)).count() == len(rows())
