@@ -24,10 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import as_table, documents
 
 UNIT = 192
 #: Most blocks in a column of blocks (a height is a 16-bit number).
@@ -311,10 +312,19 @@ def _read_scan(image: Image, parts: list[Component], dc, ac, first: int, last: i
                     _slow_block(bits, p.coef[(y * p.v + j) * p.wide + x * p.h + i], d, a, first, last, high, low, s)
 
 
-def read_coefficients(media: bytes) -> Image:
-    """Parse a JPEG and accumulate its scans. Bad data raise ``ValueError``."""
-    if media[:2] != b"\xff\xd8":
+def read_coefficients(media: bytes | None) -> Image:
+    """Parse a JPEG and accumulate its scans. Null, cut and otherwise bad data
+    raise ``ValueError``."""
+    if media is None or media[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
+    try:
+        return _read_segments(media)
+    except (IndexError, KeyError, TypeError, StopIteration, ZeroDivisionError, OverflowError) as why:
+        raise ValueError(f"a broken JPEG: {type(why).__name__}") from why
+
+
+def _read_segments(media: bytes) -> Image:
+    """The segments one after the other; scans add to the coefficients."""
     at, restart = 2, 0
     image = Image(0, 0, {}, {}, [])
     tables: dict[tuple[int, int], dict] = {}
@@ -376,12 +386,19 @@ def read_coefficients(media: bytes) -> Image:
             raise ValueError(f"unsupported frame {marker:#x}")
     if not image.parts:
         raise ValueError("no frame")
+    most_h, most_v = max(p.h for p in image.parts.values()), max(p.v for p in image.parts.values())
+    if any(most_h % p.h or most_v % p.v for p in image.parts.values()) or len(image.parts) not in (1, 3):
+        raise ValueError("unsupported components")
+    if any(len(image.quants[p.quant]) != 64 for p in image.parts.values()):
+        raise ValueError("a broken JPEG: quantisation")
     return image
 
 
 def read_payload(image: Image) -> bytes:
-    """The bytes that ``encode`` stored."""
-    size = next(int(c.split()[1]) for c in image.comments if c.startswith(b"payload "))
+    """The bytes that ``encode`` stored; ``ValueError`` if it wrote no such image."""
+    size = next((int(c.split()[1]) for c in image.comments if c.startswith(b"payload ")), None)
+    if size is None or set(image.parts) != {1, 2, 3} or len({p.coef.shape for p in image.parts.values()}) > 1:
+        raise ValueError("no payload")
     coef = np.stack([image.parts[c].coef for c in (1, 2, 3)], axis=1)
     dc = coef[:, :, 0]
     half = dc >> 1
@@ -480,51 +497,114 @@ def rgb_tensors(images: list[Image]) -> list[np.ndarray]:
 
 # --- columns ---------------------------------------------------------------
 
+#: Bytes and rows that are worked off together; a longer text is alone.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 256
+_DECODED = {
+    "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+    "media_bytes": pa.int64(), "media_sha256": pa.string(), "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary(), "error": pa.string(),
+}
+_DECODED_SQL = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
+    "media_bytes long, media_sha256 string, height int, width int, rgb binary, error string"
+)
+
+
+def _slices(sizes: list[int]) -> Iterator[slice]:
+    """Runs of rows of bounded size together."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (held + n > SLICE_BYTES or i - begin == SLICE_ROWS):
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def _sizes(column: pa.Array) -> list[int]:
+    return pa.compute.binary_length(column).fill_null(0).to_pylist()
+
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media`` for each row; a null text counts as empty."""
-    used = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
+    used = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = part["text"].to_pylist()
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(pad(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            sizes = _sizes(batch["text"])
+            for part in _slices(sizes):
+                media = pa.array([encode(pad(batch["text"][i].as_py())) for i in range(part.start, part.stop)], pa.binary())
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(sizes[part], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     return used.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_column(media: DataFrame, with_tensor: bool = True) -> DataFrame:
+def decode_column(media: DataFrame) -> DataFrame:
     """Read the ``media`` of ``encode_column`` back.
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature`` and, with ``with_tensor``, ``height,
-    width, rgb`` (bytes, row by row). ``feature`` has the size and the mean of
-    each channel. Null and empty texts give one unit of spaces. Repeated rows
-    are decoded one by one, null ids are kept, an empty table gives no rows.
+    media_bytes, media_sha256, height, width, rgb, error``; ``rgb`` is the
+    tensor's bytes, row by row. Null and empty texts give one unit of spaces.
+    Null media and those that can't be read have an ``error``, and nulls in
+    what isn't known (images of other writers have a tensor but no payload);
+    ``error`` is null otherwise. Repeated rows are decoded
+    one by one, null ids are kept, an empty table gives no rows.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += ", height int, width int, rgb binary" if with_tensor else ""
+
+    def read(stored: bytes | None) -> tuple[Image | None, bytes | None, str | None]:
+        image = None
+        try:
+            image = read_coefficients(stored)
+            return image, read_payload(image), None
+        except ValueError as why:
+            return image, None, str(why)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(_sizes(batch["media"])):
+                rows = batch.slice(part.start, part.stop - part.start)
+                idents, sizes, media_ = (rows[c].to_pylist() for c in ("doc_id", "n_bytes", "media"))
+                found = [read(stored) for stored in media_]
+                tensors = iter(rgb_tensors([image for image, _, _ in found if image is not None]))
+                out = []
+                for ident, size, stored, (image, payload, why) in zip(idents, sizes, media_, found, strict=True):
+                    own = (None, None) if stored is None else (len(stored), hashlib.sha256(stored).hexdigest())
+                    of_payload = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+                    of_tensor = (None,) * 3
+                    if image is not None:
+                        rgb = next(tensors)
+                        of_tensor = (rgb.shape[0], rgb.shape[1], rgb.tobytes())
+                    out.append((ident, size, *of_payload, *own, *of_tensor, why))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _DECODED.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, list(_DECODED))
+
+    return media.mapInArrow(run, _DECODED_SQL)
+
+
+def with_features(tensors: DataFrame) -> DataFrame:
+    """``tensors`` with a ``feature`` of the stored tensor in place of ``rgb``:
+    width and height, and the mean of each channel in thousandths; null
+    without a tensor."""
+    names = [c for c in tensors.columns if c != "rgb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = []
-                idents, sizes, media_ = (batch.slice(i, 256)[c].to_pylist() for c in ("doc_id", "n_bytes", "media"))
-                images = [read_coefficients(stored) for stored in media_]
-                for ident, size, stored, image, rgb in zip(idents, sizes, media_, images, rgb_tensors(images), strict=True):
-                    payload = read_payload(image)
-                    sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-                    means = ",".join(f"{int(s) * 1000 // (rgb.shape[0] * rgb.shape[1])}" for s in sums)
-                    row = (ident, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{rgb.shape[1]}x{rgb.shape[0]}:{means}")
-                    rows.append(row + ((rgb.shape[0], rgb.shape[1], rgb.tobytes()) if with_tensor else ()))
-                fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-                fields += [("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())] if with_tensor else []
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
-
-    return media.mapInArrow(run, schema)
+            found = []
+            for rgb, height, width in zip(batch["rgb"], batch["height"].to_pylist(), batch["width"].to_pylist(), strict=True):
+                if not rgb.is_valid:
+                    found.append(None)
+                    continue
+                sums = np.frombuffer(rgb.as_buffer(), np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64)
+                found.append(f"{width}x{height}:" + ",".join(str(int(s) * 1000 // (height * width)) for s in sums))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(found, pa.string())], [*names, "feature"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tensors.schema if f.name != "rgb")
+    return tensors.mapInArrow(run, f"{fields}, feature string")
 
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_column(encode_column(documents(spark, sf_dir)), with_tensor=False)
+    """Media are decoded to tensors, those are stored as a table, and the
+    features are computed from what the table holds."""
+    return with_features(as_table(decode_column(encode_column(documents(spark, sf_dir)))))

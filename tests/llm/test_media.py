@@ -181,6 +181,81 @@ def test_general_progressive(sampling):
 def test_bad_data():
     with pytest.raises(ValueError):
         jm.decode(b"no image")
+    with pytest.raises(ValueError):
+        jm.decode(None)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(min_size=1, max_size=500), st.data())
+def test_broken_media_raise_value_error_or_are_read(data, draw):
+    media = bytearray(jm.encode(jm.pad(data)))
+    if draw.draw(st.booleans()):
+        media = media[: draw.draw(st.integers(0, len(media) - 1))]
+    for _ in range(draw.draw(st.integers(0, 3))):
+        if media:
+            media[draw.draw(st.integers(0, min(len(media), 150) - 1))] = draw.draw(st.sampled_from([0, 1, 17, 192, 255]))
+    if media[100:101] and int.from_bytes(media[:2], "big") == 0xFFD8 and len(media) < 4000:
+        try:
+            image = jm.read_coefficients(bytes(media))
+        except ValueError:
+            return
+        assert image.parts
+
+
+def test_broken_media_do_not_stop_the_others(spark):
+    good = jm.encode(jm.pad(b"some text"))
+    foreign = progressive([np.ones((1, 1, 64), int)], [(1, 1)], 8, 8, [1] * 64)
+    media = [(1, 9, good), (2, None, None), (3, 9, good[:200]), (4, 9, b""), (5, 9, foreign), (None, 9, good)]
+    df = spark.createDataFrame(media, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in jm.with_features(jm.decode_column(df)).collect()}
+    assert len(got) == 6 and got[1].error is None and got[None].feature == got[1].feature
+    assert got[2].media_bytes is None and got[2].error and got[2].feature is None
+    assert got[3].media_bytes == 200 and got[4].error and got[4].payload_sha256 is None
+    assert got[5].feature.startswith("8x8:") and got[5].payload_bytes is None and got[5].error == "no payload"
+
+
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(jm, "SLICE_BYTES", 100)
+    monkeypatch.setattr(jm, "SLICE_ROWS", 3)
+    sizes = [10, 90, 1, 500, 1, 1, 1, 1, 0]
+    parts = list(jm._slices(sizes))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(9))
+    assert all(sum(sizes[p]) <= 100 or p.stop - p.start == 1 for p in parts) and max(p.stop - p.start for p in parts) == 3
+    assert not list(jm._slices([]))
+
+
+def expected_pixels(payload):
+    """The tensor of a payload of one column, from the definition of the format."""
+    data = np.frombuffer(payload, np.uint8).reshape(-1, 3, 64).astype(int)
+    half, low = data >> 1, data & 1
+    coef = np.where(half >= 64, half * 2 + low, -((127 - half) * 2 + low)).astype(float)
+    coef[:, :, 0] = (np.where(half[:, :, 0] >= 64, half[:, :, 0], half[:, :, 0] - 127) << 1) + low[:, :, 0]
+    block = np.zeros((len(data), 3, 64))
+    block[:, :, jm.ZIGZAG] = coef
+    u = np.arange(8)
+    basis = np.where(u == 0, np.sqrt(1 / 8), 1 / 2)[:, None] * np.cos((2 * u[None] + 1) * u[:, None] * np.pi / 16)
+    plane = np.einsum("ux,ncuv,vy->ncxy", basis, block.reshape(-1, 3, 8, 8), basis) + 128
+    y, cb, cr = np.clip(np.rint(plane), 0, 255).transpose(1, 0, 2, 3).reshape(3, -1, 8)
+    rgb = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1)
+    return np.clip(np.rint(rgb), 0, 255)
+
+
+def test_registered_query(spark, data):
+    """Every column against a computation that shares no code with the decoder."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = jm.op4_jpeg_media(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r.n_bytes, r.payload_bytes, r.error) == (len(raw), len(payload), None)
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+        media = jm.encode(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        want = expected_pixels(payload)
+        size, means = r.feature.split(":")
+        assert size == f"8x{len(want)}"
+        assert np.abs(np.array(means.split(","), float) / 1000 - want.reshape(-1, 3).mean(axis=0)).max() < 0.02
 
 
 def test_columns(spark):
@@ -194,6 +269,6 @@ def test_columns(spark):
     for r in got:
         assert by_hash[r.payload_sha256] == (r.payload_bytes, r.tail_crc32)
         assert len(r.rgb) == r.height * r.width * 3
-    same = {(r.media_sha256, r.feature) for r in got if r.doc_id == 5}
+    same = {(r.media_sha256, bytes(r.rgb)) for r in got if r.doc_id == 5}
     assert len(same) == 1
     assert jm.decode_column(jm.encode_column(empty(spark))).count() == 0
