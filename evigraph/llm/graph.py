@@ -25,9 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest node of the component. In each round every node
     takes its smallest neighbour as parent, the trees are flattened by pointer
     doubling and contracted to their roots; a round at least halves the nodes
-    that still have links. Links are only ever reduced by minimum and joined by
-    node, so a node with many links is no large group. Each step is a
-    checkpoint. Self links and repeated links change nothing; links with a null
+    that still have links. Links are reduced by minimum, which partial sums
+    do before the shuffle, and joined by node or root with tables that have one
+    row for each; of a root with very many nodes, adaptive execution splits the
+    large side of the join, which is a checkpoint and so a plain shuffle. Each
+    step is a checkpoint. Self links and repeated links change nothing; links with a null
     end are ignored.
     """
     ordered = lambda e: e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

@@ -83,16 +83,17 @@ def lowest_label(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked rows of two tiles, or within one if ``y`` is None.
+def tile_blocks(x: np.ndarray, y: np.ndarray | None, radius: int, skip: Callable[[slice, slice], bool] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of linked rows of two tiles, or within one if ``y`` is None,
+    block by block.
 
-    Rows must be ascending by population count. Blocks whose population counts
-    differ beyond the radius are skipped.
+    Rows must be ascending by population count. Pairs of blocks whose population
+    counts differ beyond the radius are left out, and so are those that ``skip``
+    doesn't want.
     """
     own = y is None
     y = x if own else y
     px, py = np.bitwise_count(x).astype(int), np.bitwise_count(y).astype(int)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(x), BLOCK_ROWS):
         a = x[i : i + BLOCK_ROWS]
         low, high = px[i], px[min(i + BLOCK_ROWS, len(x)) - 1]
@@ -101,11 +102,18 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.nda
                 break
             if low - py[min(j + BLOCK_ROWS, len(y)) - 1] > radius:
                 continue
+            if skip is not None and skip(slice(i, i + BLOCK_ROWS), slice(j, j + BLOCK_ROWS)):
+                continue
             p, q = np.nonzero(np.bitwise_count(a[:, None] ^ y[None, j : j + BLOCK_ROWS]) <= radius)
             if own and i == j:
                 p, q = p[p < q], q[p < q]
-            left.append(p + i)
-            right.append(q + j)
+            yield p + i, q + j
+
+
+def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All that ``tile_blocks`` finds; for tiles of up to ``TILE_ROWS`` rows."""
+    none = np.zeros(0, np.int64)
+    left, right = zip((none, none), *tile_blocks(x, y, radius), strict=True)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -243,6 +251,8 @@ SET_TILE_ROWS, SET_TILE_SHINGLES = 16384, 8 << 20
 #: Sets of up to so many shingles are also joined exactly: few shingles make noisy bits.
 SMALL_SET = 64
 KEY = ["kn", "kd", "kt"]
+#: A class: 128 bits of its documents' set of shingles.
+SET = ["s1", "s2"]
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -264,38 +274,64 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _set_rows(rows: DataFrame, words: int) -> DataFrame:
-    """``kn, kd, kt, fp, fp2, n``: two fingerprints and the number of shingles."""
+    """``kn, kd, kt, fp, fp2, n, s1, s2``: two fingerprints, the number of
+    shingles and a digest of the set of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
             a = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
             b = np.array([fingerprint(second_hash(s)) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in KEY), pa.array(a), pa.array(b), pa.array([len(s) for s in sets], pa.int32())], [*KEY, "fp", "fp2", "n"])
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            columns = [*(batch[k] for k in KEY), pa.array(a), pa.array(b), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(c)) for c in digest.T)], [*KEY, "fp", "fp2", "n", *SET])
 
-    return rows.mapInArrow(run, "kn boolean, kd long, kt long, fp long, fp2 long, n int")
+    return rows.mapInArrow(run, "kn boolean, kd long, kt long, fp long, fp2 long, n int, s1 long, s2 long")
 
 
-def candidate_pairs(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``x`` whose fingerprints and sizes allow the similarity.
+def candidate_blocks(group: dict[str, np.ndarray], similarity: float, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose fingerprints and sizes allow the similarity, block by block.
 
-    ``a`` and ``b`` are row numbers ascending by the first fingerprint's
-    population count; without ``b``, pairs within ``a``.
+    Rows are of one tile or of two (``first`` tells which), ascending by the
+    first fingerprint's population count. With ``label``, which may change
+    between blocks, pairs of equal label are left out.
     """
-    fp, fp2 = x["fp"].view(np.uint64), x["fp2"].view(np.uint64)
-    i, j = tile_links(fp[a], None if b is None else fp[b], WORD_RADIUS)
-    i, j = a[i], (a if b is None else b)[j]
-    both = np.bitwise_count(fp[i] ^ fp[j]).astype(int) + np.bitwise_count(fp2[i] ^ fp2[j])
-    small, large = np.minimum(x["n"][i], x["n"][j]), np.maximum(x["n"][i], x["n"][j])
-    ok = (both <= BOTH_RADIUS) & (small >= similarity * large)
-    return i[ok], j[ok]
-
-
-def _tile_pairs(group: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     first = group["first"].astype(bool)
-    if (group["a1"][0], group["a2"][0]) == (group["b1"][0], group["b2"][0]):
-        return candidate_pairs(group, np.arange(len(first)), None, similarity)
-    return candidate_pairs(group, np.flatnonzero(first), np.flatnonzero(~first), similarity)
+    own = (group["a1"][0], group["a2"][0]) == (group["b1"][0], group["b2"][0])
+    a = np.arange(len(first)) if own else np.flatnonzero(first)
+    b = a if own else np.flatnonzero(~first)
+    fp, fp2, n = group["fp"].view(np.uint64), group["fp2"].view(np.uint64), group["n"]
+
+    def joined(i: slice, j: slice) -> bool:
+        return (label[a[i]] == label[a[i.start]]).all() and (label[b[j]] == label[a[i.start]]).all()
+
+    for p, q in tile_blocks(fp[a], None if own else fp[b], WORD_RADIUS, None if label is None else joined):
+        i, j = a[p], b[q]
+        if label is not None:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+        both = np.bitwise_count(fp[i] ^ fp[j]).astype(int) + np.bitwise_count(fp2[i] ^ fp2[j])
+        ok = (both <= BOTH_RADIUS) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def similar_forest(group: dict[str, np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest row that similar pairs of the group link each row to.
+
+    The forest grows while blocks are compared: pairs that are connected already
+    aren't looked at again, so a large cluster costs little more than one block
+    of its rows against the others, and only a block's pairs are held at a time.
+    """
+    sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+    label = np.arange(len(sets))
+    for i, j in candidate_blocks(group, similarity, label):
+        here, at = np.unique(np.r_[i, j], return_inverse=True)
+        ok = verified([sets[x] for x in here], at[: len(i)], at[len(i) :], similarity)
+        if ok.any():
+            child = np.flatnonzero(label != np.arange(len(label)))
+            label[:] = lowest_label(len(label), np.r_[label[child], i[ok]], np.r_[child, j[ok]])
+    return label
 
 
 def verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float, rows: int = 256) -> np.ndarray:
@@ -393,7 +429,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     Sets of up to ``SMALL_SET`` shingles are joined by their prefixes, which
     loses no pair. Candidates of larger ones come from the tiled comparison of
     two 64-bit fingerprints, which loses a few, and their sets are compared
-    exactly. Tiles hold documents of like size: sets
+    exactly. Documents of equal sets are compared once. Tiles hold documents of like size: sets
     whose sizes differ beyond the similarity can't be similar, so only tiles of
     equal or adjacent size bands are compared. Texts without a word are one
     class.
@@ -405,7 +441,8 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     rows = keyed(docs, id_col, text_col)
     own = as_table(_set_rows(rows, words))
     key = F.struct(*KEY)
-    kinds = as_table(own.groupBy("fp", "fp2", "n").agg(F.min(key).alias("first")).withColumn("class", F.xxhash64("fp", "fp2", "n")))
+    kinds = own.groupBy(*SET).agg(F.min(key).alias("first"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")])
+    kinds = as_table(kinds.withColumn("class", F.monotonically_increasing_id()))  # fixed once it is written
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(-np.log(similarity))).cast("int")
     sized = kinds.select("class", "first", "fp", "fp2", "n", band.alias("band"), F.bit_count("fp").alias("ones"))
     counts = {r["band"]: (r["count"], r["most"]) for r in sized.groupBy("band").agg(F.count("*").alias("count"), F.max("n").alias("most")).collect()}  # a row for each power of 1.25
@@ -415,7 +452,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     salt_of = F.create_map(*[F.lit(x) for b, s in salts.items() for x in (b, s)])
     tiles = lambda b: F.transform(F.sequence(F.lit(0), F.coalesce(salt_of[b], F.lit(0)) - 1, F.lit(1)), lambda s: F.struct(b.alias("band"), s.cast("int").alias("salt")))
     near = F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.when(salt_of[b].isNotNull(), tiles(b)).otherwise(F.array().cast("array<struct<band:int,salt:int>>"))))
-    mine = F.struct(F.col("band").alias("band"), F.pmod(F.col("class"), salt_of[F.col("band")]).cast("int").alias("salt"))
+    mine = F.struct(F.col("band").alias("band"), F.pmod(F.xxhash64("class"), salt_of[F.col("band")]).cast("int").alias("salt"))
     dealt = (
         sized.withColumn("mine", mine)
         .withColumn("other", F.explode(near))
@@ -427,9 +464,10 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     ordered = dealt.select(*keys, F.col("first_tile").alias("first"), "class", "fp", "fp2", "n", "ones").repartition(parts, *keys).sortWithinPartitions(*keys, "ones")
 
     def find(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
-        i, j = _tile_pairs(group, similarity)
-        who = np.unique(np.concatenate([i, j]))
-        return tuple(group[c][who] for c in (*keys, "first", "class", "fp", "fp2", "n", "ones")) if len(who) else None
+        met = np.zeros(len(group["class"]), bool)
+        for i, j in candidate_blocks(group, similarity):
+            met[i] = met[j] = True
+        return tuple(group[c][met] for c in (*keys, "first", "class", "fp", "fp2", "n", "ones")) if met.any() else None
 
     names = [*keys, "first", "class", "fp", "fp2", "n", "ones"]
     found = ordered.mapInArrow(by_group(keys, find, names), "a1 int, a2 int, b1 int, b2 int, first boolean, class long, fp long, fp2 long, n int, ones int")
@@ -446,21 +484,16 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     loaded = found.join(sets, "class").repartition(parts, *keys).sortWithinPartitions(*keys, "ones")
 
     def verify(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
-        i, j = _tile_pairs(group, similarity)
-        own_sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-        ok = verified(own_sets, i, j, similarity)
-        if not ok.any():
-            return None
-        label = lowest_label(len(own_sets), i[ok], j[ok])
+        label = similar_forest(group, similarity)
         child = np.flatnonzero(label != np.arange(len(label)))
-        return group["class"][label[child]], group["class"][child]
+        return (group["class"][label[child]], group["class"][child]) if len(child) else None
 
     links = loaded.mapInArrow(by_group(keys, verify, ["u", "v"]), "u long, v long")
     roots = connected_components(links.unionByName(small_links(rows, kinds, words, similarity)))
     placed = kinds.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
-    named = placed.drop("first").join(firsts, "root").select("fp", "fp2", "n", "first")
-    return own.join(named, ["fp", "fp2", "n"]).select(*KEY, "first")
+    named = placed.drop("first").join(firsts, "root").select(*SET, "first")
+    return own.join(named, SET).select(*KEY, "first")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

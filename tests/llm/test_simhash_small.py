@@ -1,5 +1,7 @@
 """Similar short texts, of whose fingerprints some differ beyond the radius."""
 
+import tracemalloc
+
 import numpy as np
 
 from evigraph.llm import simhash
@@ -32,3 +34,65 @@ def test_links_by_exact_counts():
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if similar(i, j, 0.4)}
     assert {(int(i), int(j)) for i, j in zip(*simhash.set_links(sets, 0.4), strict=True)} == want
     assert all(np.intersect1d(simhash.set_prefix(sets[i], 0.4), simhash.set_prefix(sets[j], 0.4)).size for i, j in want)
+
+
+def bits_miss(shared, own, pairs, seed=0):
+    """How many pairs of sets, with so many shingles in common and of their own, the bits don't propose."""
+    rng = np.random.default_rng(seed)
+    lost = 0
+    for _ in range(pairs):
+        h = rng.integers(0, 2**63, shared + 2 * own, dtype=np.int64).view(np.uint64) ^ rng.integers(0, 2**63, shared + 2 * own, dtype=np.int64).view(np.uint64) << np.uint64(1)
+        a, b = h[: shared + own], np.r_[h[:shared], h[shared + own :]]
+        bits = [(simhash.fingerprint(f(a)) ^ simhash.fingerprint(f(b))).bit_count() for f in (lambda x: x, simhash.second_hash)]
+        lost += bits[0] > simhash.WORD_RADIUS or sum(bits) > simhash.BOTH_RADIUS
+    return lost
+
+
+def test_recall_of_long_texts_at_the_threshold():
+    """A similarity of exactly 0.8 (8 parts shared of 10), in texts too long for the exact join."""
+    for shared, own in ((64, 8), (320, 40), (1600, 200)):
+        assert shared / (shared + 2 * own) == 0.8
+        assert bits_miss(shared, own, 1500) <= 0.01 * 1500
+
+
+def cluster(n, size=120, seed=1):
+    """A group as in a task: near copies of one set, in one tile."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**62, size).astype(np.uint64)
+    sets = []
+    for _ in range(n):
+        own = base.copy()
+        own[rng.integers(0, size, 3)] = rng.integers(0, 2**62, 3).astype(np.uint64)
+        sets.append(np.unique(own))
+    fps = np.array([[simhash.fingerprint(s), simhash.fingerprint(simhash.second_hash(s))] for s in sets], np.uint64)
+    order = np.argsort(np.bitwise_count(fps[:, 0]), kind="stable")
+    zero = np.zeros(n, np.int32)
+    group = {"a1": zero, "a2": zero, "b1": zero, "b2": zero, "first": np.ones(n, bool), "n": np.array([len(sets[i]) for i in order], np.int32)}
+    group |= {"fp": fps[order, 0].view(np.int64), "fp2": fps[order, 1].view(np.int64), "class": order.astype(np.int64)}
+    return group | {"shingles": np.array([sets[i].tobytes() for i in order], object)}
+
+
+def test_a_large_cluster_needs_no_room_for_its_pairs():
+    peaks = []
+    for n in (1500, 6000):
+        group = cluster(n)
+        tracemalloc.start()
+        label = simhash.similar_forest(group, 0.8)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (label == 0).all()
+    assert peaks[1] < 200 << 20 and peaks[1] < 4 * peaks[0] + (16 << 20)  # all pairs would be 16 times as much
+
+
+def test_forest_is_that_of_all_similar_pairs():
+    rng = np.random.default_rng(4)
+    group = cluster(700, size=40, seed=7)
+    sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+    keep = rng.random(700) < 0.5  # some sets of their own
+    for i in np.flatnonzero(keep):
+        sets[i] = np.unique(np.r_[sets[i][: int(rng.integers(10, 30))], rng.integers(0, 2**62, 15).astype(np.uint64)])
+    group["shingles"] = np.array([s.tobytes() for s in sets], object)
+    group["n"] = np.array([len(s) for s in sets], np.int32)
+    group["fp"] = group["fp2"] = np.zeros(700, np.int64)  # bits propose all pairs
+    want = simhash.lowest_label(700, *simhash.set_links(sets, 0.8))
+    assert (simhash.similar_forest(group, 0.8) == want).all()
