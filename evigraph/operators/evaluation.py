@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -55,9 +55,26 @@ def check_consistency(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.exceptAll(actual).withColumn("side", F.lit("expected")).unionByName(actual.exceptAll(expected).withColumn("side", F.lit("actual")))
 
 
-def sys_metrics(df: DataFrame, name: str, **metrics):
-    """``df`` observed: metrics are gathered while it runs, without another pass."""
-    from pyspark.sql import Observation
+def qa_scores(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """``query_id, value`` of the gold's queries: 2 if the first hit is gold, 1 if
+    another one is, 0 if none."""
+    marked = gold.join(hits.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
+    best = marked.groupBy("query_id").agg(F.min("rank").alias("best"))
+    return best.select("query_id", F.when(F.col("best") == 1, 2.0).when(F.col("best") > 1, 1.0).otherwise(0.0).alias("value"))
 
+
+def sys_metrics(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observation]:
+    """``df`` observed: metrics are gathered while it runs, without another pass.
+
+    What was seen is in the observation once the frame has run.
+    """
     seen = Observation(name)
     return df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), seen
+
+
+def measured(df: DataFrame, name: str, **metrics) -> DataFrame:
+    """Run ``df`` and return what was observed: ``metric, value``."""
+    observed, seen = sys_metrics(df, name, **metrics)
+    observed.write.format("noop").mode("overwrite").save()
+    rows = [(k, None if v is None else float(v)) for k, v in seen.get.items()]
+    return df.sparkSession.createDataFrame(rows, "metric string, value double")

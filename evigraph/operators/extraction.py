@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Our own kinds and the patterns that find them.
@@ -13,7 +13,8 @@ ENTITY_RULES = {
     "licence": r"(?:MIT|Apache|BSD|GPL) License",
     "key": r"(?:token|secret) = \"[0-9a-f]+\"",
 }
-EVENT_KINDS = ("click", "view", "purchase", "signup", "error")
+#: Kinds that name a person or an account; a licence names no one and links nothing.
+NAMING = ("email", "phone", "card", "key")
 
 
 def extract(chunks: DataFrame, rules: dict[str, str], text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -30,24 +31,66 @@ def extract_entities(chunks: DataFrame, text: str = "text", ident: str = "doc_id
     return extract(chunks, ENTITY_RULES, text, ident)
 
 
-def extract_times(events: DataFrame) -> DataFrame:
-    """Event time, its date and the start of its week."""
-    return events.select("event_id", "ts", F.to_date("ts").alias("day"), F.to_date(F.date_trunc("week", "ts")).alias("week"))
+#: Our own eight event types and the wording that tells them.
+EVENT_RULES = {
+    "click": r"clicked", "view": r"viewed", "purchase": r"purchased", "signup": r"signed up", "error": r"hit an error",
+    "refund": r"was refunded", "login": r"logged in", "share": r"shared",
+}
+#: Our own nine relations: what two kinds of entity in one line have to do with each other.
+RELATION_RULES = {
+    ("card", "email"): "card_of_address", ("card", "key"): "card_beside_key", ("card", "licence"): "card_under_licence",
+    ("card", "phone"): "card_of_caller", ("email", "key"): "key_of_address", ("email", "licence"): "address_under_licence",
+    ("email", "phone"): "reachable_at", ("key", "licence"): "key_under_licence", ("licence", "phone"): "caller_under_licence",
+}
+#: Our own three kinds of time and their patterns.
+TIME_RULES = {
+    "instant": r"[0-9]{4}-[0-9]{2}-[0-9]{2} at [0-9]{2}:[0-9]{2}:[0-9]{2}",
+    "day": r"on [0-9]{4}-[0-9]{2}-[0-9]{2}\b",
+    "week": r"in the week of [0-9]{4}-[0-9]{2}-[0-9]{2}",
+}
+_DAY = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
+
+
+def extract_times(texts: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """``doc_id, kind, day, clock`` for every time that a text names; ``clock`` is
+    null but for instants. A day that no calendar has is null."""
+    found = extract(texts, TIME_RULES, text, ident)
+    clock = F.nullif(F.regexp_extract("value", r"([0-9]{2}:[0-9]{2}:[0-9]{2})", 1), F.lit(""))
+    return found.select(ident, "kind", F.try_to_date(F.regexp_extract("value", _DAY, 1), "yyyy-MM-dd").alias("day"), clock.alias("clock"))
+
+
+def extract_events(texts: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """``doc_id, event_type, actor``: each event that a text tells, ``user N`` before
+    its wording being the actor."""
+    rules = {kind: rf"user [0-9]+ {wording}" for kind, wording in EVENT_RULES.items()}
+    found = extract(texts, rules, text, ident)
+    return found.select(ident, F.col("kind").alias("event_type"), F.regexp_extract("value", r"user ([0-9]+)", 1).cast("long").alias("actor"))
+
+
+def extract_relations(texts: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """``doc_id, relation, a, b``: entities of two kinds in one line, distinct.
+
+    Kinds are paired in order of name; pairs without a rule are no relation.
+    """
+    lines = texts.select(ident, F.explode(F.split(text, "\n")).alias("line"))
+    each = [F.transform(F.array_distinct(F.regexp_extract_all("line", F.lit(rule), 0)), _tag(kind)) for kind, rule in ENTITY_RULES.items()]
+    found = lines.withColumn("found", F.concat(*each)).where(F.size("found") > 1)
+    names = F.create_map(*[F.lit(x) for (a, b), name in RELATION_RULES.items() for x in (f"{a} {b}", name)])
+    both = found.select(ident, F.explode("found").alias("x"), "found").select(ident, "x", F.explode("found").alias("y"))
+    named = both.where(F.col("x.kind") < F.col("y.kind")).withColumn("relation", names[F.concat_ws(" ", "x.kind", "y.kind")])
+    return named.where("relation IS NOT NULL").select(ident, "relation", F.col("x.value").alias("a"), F.col("y.value").alias("b")).distinct()
 
 
-def extract_events(events: DataFrame) -> DataFrame:
-    """Typed events with the integer that their properties carry."""
-    return events.select("event_id", "event_type", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+def normalised(value: Column) -> Column:
+    return F.lower(F.regexp_replace(value, r"[^0-9A-Za-z@.]", ""))
 
 
-def extract_relations(entities: DataFrame) -> DataFrame:
-    """Pairs of kinds that occur in the same document, counted once each."""
-    kinds = entities.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    pairs = F.flatten(F.transform("kinds", lambda a: F.transform(F.filter("kinds", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return kinds.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", F.col("p.a").alias("kind_a"), F.col("p.b").alias("kind_b"))
+def document_entities(docs: DataFrame) -> DataFrame:
+    """``doc_id, kind, entity``, distinct, of the kinds that name someone."""
+    found = extract_entities(docs).where(F.col("kind").isin(*NAMING))
+    return found.select("doc_id", "kind", normalised(F.col("value")).alias("entity")).distinct()
 
 
 def link_entities(entities: DataFrame) -> DataFrame:
     """One entity for each kind and normalised value, with its mentions."""
-    value = F.lower(F.regexp_replace("value", r"[^0-9A-Za-z@.]", ""))
-    return entities.groupBy("kind", value.alias("entity")).agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("docs"))
+    return entities.groupBy("kind", normalised(F.col("value")).alias("entity")).agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("docs"))

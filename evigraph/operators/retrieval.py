@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from evigraph.errors import IndexUnavailable
 from evigraph.functions.text import tokens
-from evigraph.functions.vectors import cosine
-from evigraph.operators.bounds import broadcast_if_small, fits
 
 #: Most queries that one batch search sends to every executor.
 MAX_QUERIES = 4096
@@ -23,60 +21,65 @@ def _ranked(scores: DataFrame, k: int, ident: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``query_id, vec_id, score``: cosine, rounded to six places.
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+    """``query_id, vec_id, score``: cosine by matrix products, rounded to six places.
 
-    ``queries`` (query_id, q) is a stated set. It is broadcast up to
-    ``MAX_QUERIES`` rows; a larger one is matched by a blocked product.
+    Each batch of vectors keeps a query's best ``k``, or those of ``least`` or
+    more. ``queries`` (query_id, q) is a stated set; a query's own row is left
+    out, and of queries that repeat an id one is taken. Up to ``MAX_QUERIES`` go
+    to every executor at once; more are dealt into blocks of about half that
+    size, one after the other. Vectors without a length have no score.
     """
-    pairs = vectors.select("vec_id", "embedding").join(broadcast_if_small(queries, MAX_QUERIES), F.col("query_id") != F.col("vec_id"))
-    return pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    return _ranked(vector_scores(queries, vectors), k, "vec_id").select("query_id", "rank", "vec_id", "score")
-
-
-def vector_range(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    return vector_scores(queries, vectors).where(F.col("score") >= least)
-
-
-def vector_topk_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """As ``vector_topk``, by matrix products: each partition sends its best k.
-
-    Up to ``MAX_QUERIES`` queries go to every executor at once; more of them
-    are dealt into blocks of about that size, one after the other.
-    """
-    if not fits(queries, MAX_QUERIES):
-        blocks = -(-queries.count() // (MAX_QUERIES // 2))
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        parts = [vector_topk_batch(dealt.where(F.col("block") == b).drop("block"), vectors, k) for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    rows = queries.select("query_id", "q").orderBy("query_id").collect()
-    if not rows:
-        return vector_topk(queries, vectors, k)
+    asked = queries.select("query_id", "q").where("query_id IS NOT NULL AND q IS NOT NULL").dropDuplicates(["query_id"])
+    count = asked.count()
+    blocks = 1 if count <= MAX_QUERIES else -(-count // (MAX_QUERIES // 2))
+    schema = "query_id long, vec_id long, score double"
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for block in range(blocks if count else 0):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
+        rows = part.orderBy("query_id").collect()
+        if rows:
+            out = out.unionByName(vectors.select("vec_id", "embedding").mapInPandas(_search_block(rows, k, least), schema))
+    return out
+
+
+def _search_block(rows: list, k: int | None, least: float | None):
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["q"] for r in rows], np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b.dropna()
             if not len(b):
                 continue
             x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            score = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-            vec = b["vec_id"].to_numpy()
-            score[ids[:, None] == vec[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            out = pd.DataFrame({"query_id": ids[q], "vec_id": vec[order.ravel()], "score": score[q, order.ravel()]})
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+            vec = b["vec_id"].to_numpy().astype(np.int64)
+            score[(ids[:, None] == vec[None, :]) | ~np.isfinite(score)] = -np.inf
+            if least is not None:
+                score[score < least] = -np.inf
+            if k is None:
+                q, at = np.nonzero(np.isfinite(score))
+            else:
+                order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
+                q, at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
+            out = pd.DataFrame({"query_id": ids[q], "vec_id": vec[at], "score": score[q, at]})
             yield out[np.isfinite(out["score"])]
 
-    best = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
-    return _ranked(best, k, "vec_id").select("query_id", "rank", "vec_id", "score")
+    return run
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` for each query, ties to the smaller id: ``query_id, rank, vec_id, score``."""
+    return _ranked(vector_search(queries, vectors, k), k, "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
+def vector_range(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """All of a score of ``least`` or more."""
+    return vector_search(queries, vectors, least=least)
 
 
 def vector_ann(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, width: float = 1.0) -> DataFrame:
@@ -126,6 +129,46 @@ def fuse(channels: dict[str, DataFrame], k: int, constant: int = 60) -> DataFram
     return _ranked(scores, k, "doc_id").select("query_id", "rank", "doc_id", "score", "channel")
 
 
+def graph_hits(seeds: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, doc_id, score``: documents that share entities with the
+    query's seeds (query_id, doc_id), by how many.
+
+    ``entities`` has ``doc_id, kind, entity``; two hops over the graph of
+    documents and entities. Both joins are by entity or document, and a query's
+    seeds are reduced to their distinct entities first.
+    """
+    of_seeds = seeds.select("query_id", "doc_id").join(entities, "doc_id").select("query_id", "kind", "entity").distinct()
+    shared = of_seeds.join(entities.distinct(), ["kind", "entity"]).groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    return _ranked(shared, k, "doc_id").select("query_id", "rank", "doc_id", "score")
+
+
+def rerank(hits: DataFrame, questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, doc_id, score``: hits in a new order, by the share of the
+    question's distinct words that the document has.
+
+    The share stands in for a cross-encoder's score; only hits are scored.
+    """
+    words = lambda c: F.array_distinct(tokens(F.col(c)))
+    asked = questions.select("query_id", words("text").alias("asked"))
+    found = hits.select("query_id", "doc_id").join(asked, "query_id").join(docs.select("doc_id", words("text").alias("words")), "doc_id")
+    share = F.try_divide(F.size(F.array_intersect("asked", "words")), F.size("asked"))
+    scored = found.select("query_id", "doc_id", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("score"))
+    return _ranked(scored, k, "doc_id").select("query_id", "rank", "doc_id", "score")
+
+
+#: Our own rules for questions that are out of scope.
+OUT_OF_SCOPE = r"(?i)\b(?:price (?:prediction|forecast)|predict|forecast|should i (?:buy|sell)|investment advice|real[- ]time quote)"
+
+
+def declined(questions: DataFrame, hits: DataFrame, least: float) -> DataFrame:
+    """``query_id, reason`` of the questions that aren't answered: ``out_of_scope``
+    by their wording, or ``no_evidence`` if no hit has a score of ``least``."""
+    best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
+    weak = F.col("best").isNull() | (F.col("best") < least)
+    reason = F.when(F.col("text").rlike(OUT_OF_SCOPE), "out_of_scope").when(weak, "no_evidence")
+    return questions.join(best, "query_id", "left").select("query_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def evidence(hits: DataFrame, docs: DataFrame, width: int | None = 80) -> DataFrame:
     """Ranked hits with the head of their source text; without ``width``, all of it."""
     text = F.col("text") if width is None else F.substring("text", 1, width)

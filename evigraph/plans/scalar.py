@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,14 +100,23 @@ def u01(t: Tables) -> DataFrame:
 
 @query("u02_grouped_map", "SELECT s_nationkey, max(s_acctbal) - min(s_acctbal) AS spread FROM supplier GROUP BY 1")
 def u02(t: Tables) -> DataFrame:
-    import pandas as pd
-
     def spread(key, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s_nationkey": [key[0]], "spread": [rows.s_acctbal.max() - rows.s_acctbal.min()]})
 
     return t.supplier.select("s_nationkey", "s_acctbal").groupBy("s_nationkey").applyInPandas(spread, "s_nationkey int, spread double")
 
 
+@query("u02_grouped_agg", "SELECT s_nationkey, round(quantile_cont(s_acctbal, 0.5), 4) AS median FROM supplier GROUP BY 1")
+def u02a(t: Tables) -> DataFrame:
+    """An aggregate function of our own."""
+
+    @F.pandas_udf("double")
+    def median(values: pd.Series) -> float:
+        return float(values.median())
+
+    return t.supplier.groupBy("s_nationkey").agg(F.round(median("s_acctbal"), 4).alias("median"))
+
+
 @query("u03_table_function", "SELECT r_regionkey, i FROM region, (SELECT unnest(range(0, 3)) AS i)")
 def u03(t: Tables) -> DataFrame:
     from pyspark.sql.functions import udtf

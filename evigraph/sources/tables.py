@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,9 @@ def load_vectors(spark: SparkSession, path: str, column: str = "embedding") -> D
     """Vectors as a Parquet array column; missing ones are error 3003."""
     try:
         vectors = spark.read.parquet(path)
-    except Exception as e:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise IndexUnavailable(path) from e
     if column not in vectors.columns:
         raise IndexUnavailable(path)
@@ -81,8 +84,13 @@ def write_graph(graph: Graph, path: str, kind: str = "parquet") -> None:
 
 
 def manifest(df: DataFrame, name: str, layer: str, version: str, key: str) -> DataFrame:
-    """One row for a table: rows, distinct keys and an order-free checksum."""
-    row_hash = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    """One row for a table: rows, distinct keys and an order-free checksum.
+
+    The checksum sums 48 bits of the MD5 of each row's columns as text, joined
+    by ``|``; floating-point numbers have four places, nulls are empty.
+    """
+    text = lambda c, kind: F.col(c).cast("decimal(18,4)" if kind in ("double", "float") else kind).cast("string")
+    row_hash = F.md5(F.concat_ws("|", *[F.coalesce(text(c, kind), F.lit("")) for c, kind in df.dtypes]))
     return df.agg(
         F.lit(name).alias("name"), F.lit(layer).alias("layer"), F.lit(version).alias("version"),
         F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.sum(F.conv(F.substring(row_hash, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias("checksum"),

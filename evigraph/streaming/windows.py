@@ -58,8 +58,31 @@ def running_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(count, "user_id long, n long", "n long", "update", "NoTimeout")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drain a stream into an in-memory table and return it."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, path: str, mode: str) -> DataFrame:
+    """Drain a stream into Parquet files under ``path`` and return the result.
+
+    Every micro-batch writes a folder of its own and writes it anew if it is
+    run again. ``append`` and ``update`` return the rows of all batches, with
+    ``batch``; ``complete`` returns the last batch.
+    """
+    spark, schema = df.sparkSession, df.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    batches = (q.lastProgress or {}).get("batchId", -1) if q.lastProgress is not None else -1
+    if batches < 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", f"{path}/out").parquet(f"{path}/out")
+    if mode != "complete":
+        return rows
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last update of each key."""
+    columns = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("x"))
+    return last.select(*keys, *[F.col(f"x.{c}").alias(c) for c in columns])
