@@ -3,33 +3,16 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of bytes outside the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
+from evigraph.sources.shared import as_table, shared_dir
 
+__all__ = ["WORD", "as_table", "checkpointed", "documents", "partitions", "pieces", "text_bytes"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    The setting is read from the session. Where it is unset, a folder of this
-    machine is chosen in local mode, as in tests; on a cluster, where executors
-    could not see it, ``RuntimeError`` is raised.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not known.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="evigraph-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+#: A word: a run of bytes outside the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -38,18 +21,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def as_table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read again.
-
-    Columnar and compressed, so cheaper than a checkpoint for wide results that
-    are read more than once or only in part.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/evigraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
