@@ -49,8 +49,9 @@ FP_BYTES = 5
 LAST = np.int64(2**63 - 1)
 #: An anchor in so many batches, or so many times in a batch, is sent by windows.
 HOT = 32
-#: Batches whose share of the anchors goes to one reducer.
-BATCHES_OF_PART = 4
+#: Batches whose share of the anchors goes to one reducer, and how many contexts
+#: or windows it works on at a time.
+BATCHES_OF_PART, AT_ONCE = 4, 1 << 15
 
 
 def kgram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -298,6 +299,15 @@ def _pack_windows(found: Windows, a: int, b: int) -> bytes:
     return np.int64(b - a).tobytes() + head + found.hash[a:b].tobytes() + found.other[a:b].tobytes() + (found.most[a:b] > found.least[a:b]).tobytes() + ids
 
 
+def _hash_ranges(hashes: list[np.ndarray], most: int) -> list[list[slice]]:
+    """Ranges of hashes with about ``most`` entries: the slices of each ascending
+    array, equal hashes together."""
+    every = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    bounds = np.unique(every[most::most])
+    cuts = [np.r_[0, np.searchsorted(h, bounds), len(h)] for h in hashes]
+    return [[slice(c[i], c[i + 1]) for c in cuts] for i in range(len(bounds) + 1)]
+
+
 def smallest_of_windows(blobs: list[bytes]) -> list[bytes]:
     """For the windows that the batches sent to a reducer: those that have a
     smaller id elsewhere or several ids in the batch, with the smallest id."""
@@ -306,20 +316,27 @@ def smallest_of_windows(blobs: list[bytes]) -> list[bytes]:
         n, base, width = (int(x) for x in np.frombuffer(blob, np.int64, 3))
         one, two = np.frombuffer(blob, np.uint64, 2 * n, 24).reshape(2, n)
         parts.append((one, two, np.frombuffer(blob, bool, n, 24 + 16 * n), _unpack_ids(blob, 24 + 17 * n, n, base, width)))
-    one, two, several, own = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.lexsort((two, one))
-    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    least = np.full(new.sum(), LAST)
-    np.minimum.at(least, kind, own)
-    replies, start = [], 0
-    for p in parts:
-        here = slice(start, start + len(p[0]))
-        told = np.flatnonzero((least[kind[here]] < own[here]) | several[here])
-        head, ids = _pack_ids(least[kind[here]][told])
-        replies.append(np.int64(len(told)).tobytes() + head + told.astype(np.uint32).tobytes() + ids)
-        start = here.stop
+    told: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in parts]
+    lowest: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in parts]
+    for here in _hash_ranges([p[0] for p in parts], 8 * AT_ONCE):
+        one, two, several, own = (np.concatenate([p[i][cut] for p, cut in zip(parts, here, strict=True)]) for i in range(4))
+        order = np.lexsort((two, one))
+        new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        least = np.full(new.sum(), LAST)
+        np.minimum.at(least, kind, own)
+        start = 0
+        for p, cut in enumerate(here):
+            rows = slice(start, start + cut.stop - cut.start)
+            found = np.flatnonzero((least[kind[rows]] < own[rows]) | several[rows])
+            told[p].append(found + cut.start)
+            lowest[p].append(least[kind[rows]][found])
+            start = rows.stop
+    replies = []
+    for at, ids in zip(map(np.concatenate, told), map(np.concatenate, lowest), strict=True):
+        head, packed = _pack_ids(ids)
+        replies.append(np.int64(len(at)).tobytes() + head + at.astype(np.uint32).tobytes() + packed)
     return replies
 
 
@@ -434,6 +451,29 @@ def smallest_ids(blobs: list[bytes], length: int) -> list[bytes]:
     than their own are left out.
     """
     parts = [_unpack_contexts(b) for b in blobs]
+    begins = [np.r_[0, np.cumsum(p[2])] for p in parts]
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in parts]
+    for here in _hash_ranges([p[0] for p in parts], AT_ONCE):
+        some = [(*(c[cut] for c in p[:5]), p[5][at[cut.start] : at[cut.stop]]) for p, at, cut in zip(parts, begins, here, strict=True)]
+        if not any(len(x[0]) for x in some):
+            continue
+        for p, (cut, (told, *rest)) in enumerate(zip(here, _least_of_contexts(some, length), strict=True)):
+            found[p].append((told + cut.start, *rest))
+    replies = []
+    for own in found:
+        told, runs, width, ids = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, np.int64) for i in range(4))
+        base = int(ids.min()) if len(ids) else 0
+        near = ids - base
+        wide = np.int64 if len(near) and near.max() >= 2**32 else np.uint32
+        head = np.array([len(told), len(ids), base, np.dtype(wide).itemsize], np.int64).tobytes()
+        short = np.uint8 if length < 250 else np.uint16
+        replies.append(head + told.astype(np.uint32).tobytes() + runs.astype(short).tobytes() + width.astype(np.uint16).tobytes() + near.astype(wide).tobytes())
+    return replies
+
+
+def _least_of_contexts(parts: list[tuple[np.ndarray, ...]], length: int) -> list[tuple[np.ndarray, ...]]:
+    """For each batch: the contexts that learn something, how many runs each has,
+    and the width and id of the runs."""
     hashes, back, size, own, several = (np.concatenate([p[i] for p in parts]) for i in range(5))
     data = np.concatenate([p[5] for p in parts])
     begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
@@ -475,11 +515,7 @@ def smallest_ids(blobs: list[bytes], length: int) -> list[bytes]:
         new = np.r_[True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])] if len(ids) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
         width = np.add.reduceat(full, heads) if len(heads) else np.zeros(0, np.int64)
-        runs = np.bincount(of[heads], minlength=len(k))
-        base = int(ids.min()) if len(ids) else 0
-        near = ids[heads] - base
-        wide = np.int64 if len(near) and near.max() >= 2**32 else np.uint32
-        replies.append(np.array([len(told), len(heads), base, np.dtype(wide).itemsize], np.int64).tobytes() + told.astype(np.uint32).tobytes() + runs.astype(np.uint8 if length < 250 else np.uint16).tobytes() + width.astype(np.uint16).tobytes() + near.astype(wide).tobytes())
+        replies.append((told, np.bincount(of[heads], minlength=len(k)), width, ids[heads]))
         start += n
     return replies
 

@@ -139,3 +139,24 @@ def test_packed_fingerprints(items):
     low = hashes & np.uint64(2**40 - 1)
     size = {x: (low == x).sum() for x in low.tolist()}
     assert hot.tolist() == [int(many[low == x].any() or size[x] >= sd.HOT) for x in low.tolist()]
+
+
+def test_reducers_work_in_ranges(monkeypatch):
+    """What a reducer answers doesn't depend on how much it takes at a time."""
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcd ") for _ in range(90)) for _ in range(20)]
+    docs = [(i, "".join(rng.choices(pool, k=4)).encode()) for i in range(120)]
+    contexts, windows = [], []
+    for a in range(0, 120, 30):
+        table = pa.table({"doc_id": [i for i, _ in docs[a : a + 30]], "text": [t for _, t in docs[a : a + 30]]})
+        batch = sd.Batch(table, np.zeros(0, np.int64), 50)
+        anchors = sd.anchors_of(batch.data, batch.ends, 50, 25)
+        distinct = np.unique(anchors.hash)
+        found = sd.contexts_of(batch, anchors, distinct, np.ones(len(distinct), bool), 50, 25)
+        contexts.append(sd._pack_contexts(batch, anchors, found, 0, len(found.hash), 50))
+        all_ = sd.windows_of(batch, anchors, distinct, np.ones(len(distinct), bool), 50)
+        windows.append(sd._pack_windows(all_, 0, len(all_.hash)))
+    whole = sd.smallest_ids(contexts, 50), sd.smallest_of_windows(windows)
+    monkeypatch.setattr(sd, "AT_ONCE", 16)
+    assert (sd.smallest_ids(contexts, 50), sd.smallest_of_windows(windows)) == whole
+    assert any(np.frombuffer(r, np.int64, 1)[0] for r in whole[0]) and any(np.frombuffer(r, np.int64, 1)[0] for r in whole[1])
