@@ -31,6 +31,7 @@ reducer that shares an anchor, so there are never more of them than anchors.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from dataclasses import dataclass
 
@@ -194,6 +195,15 @@ class Batch:
         return np.searchsorted(self.ends, at, "right")
 
 
+def give_back_memory() -> None:
+    """Return what a batch has freed to the system: workers stay for the next stage,
+    and what they hold counts beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """The reducer of an anchor: ranges of the hash's upper bits."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -587,6 +597,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
         return batch, anchors_of(batch.data, batch.ends, length, k), part, blob
 
     def out(number: int, parts_: list[int], blobs: list[bytes]) -> pa.Table:
+        give_back_memory()
         return pa.table([pa.array([number] * len(blobs), pa.int32()), pa.array(parts_, pa.int32()), pa.array(blobs, pa.binary())], schema=empty)
 
     def send_fingerprints(key, table: pa.Table, notes: pa.Table) -> pa.Table:
@@ -597,6 +608,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
         bounds = np.searchsorted(_part_of(distinct, parts), np.arange(parts + 1))
         used = np.flatnonzero(np.diff(bounds)).tolist()
         blobs = [_pack_fingerprints(distinct[bounds[p] : bounds[p + 1]], times[bounds[p] : bounds[p + 1]] >= HOT) for p in used]
+        del batch, anchors
         return out(key[0].as_py(), used, blobs)
 
     def match(table: pa.Table) -> pa.Table:
@@ -617,6 +629,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
         bounds = np.searchsorted(_part_of(windows.hash, parts), np.arange(parts + 1))
         often = np.flatnonzero(np.diff(bounds)).tolist()
         sent += [_pack_windows(windows, bounds[p], bounds[p + 1]) for p in often]
+        del batch, anchors, found, windows
         return out(key[0].as_py(), used + [p + 2 * parts for p in often], sent)
 
     def sort(table: pa.Table) -> pa.Table:
@@ -624,6 +637,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
         blobs = table["blob"].to_pylist()
         hot = table["part"][0].as_py() >= 2 * parts
         replies = smallest_of_windows(blobs) if hot else smallest_ids(blobs, length)
+        give_back_memory()
         shifted = pa.array([p + parts for p in table["part"].to_pylist()], pa.int32())
         return pa.table({"batch": table["batch"], "part": shifted, "blob": pa.array(replies, pa.binary())})
 
@@ -650,6 +664,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 3 << 20
                 kept = batch.data[batch.begins[i] : batch.ends[i]][~mask].tobytes() if removed else text
             row = (None if batch.null[i] else int(batch.ids[i]), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept)
             result.append(row[: len(names)])
+        del batch, anchors, found, gone
+        give_back_memory()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*result, strict=True), types, strict=True)], names=names)
 
     of_batch = rows.groupBy("batch")
