@@ -127,7 +127,8 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, k: int, piece: i
         # each window belongs to the piece in which it starts
         low, high = np.maximum(low, start), np.minimum(high, stop - 1)
         keep = low <= high
-        found.append((h[at][keep], at[keep] + left, low[keep], high[keep]))
+        # least hashes are small numbers; times an odd one they are spread again
+        found.append((h[at][keep] * M1, at[keep] + left, low[keep], high[keep]))
     if not found:
         none = np.zeros(0, np.int64)
         return Anchors(np.zeros(0, np.uint64), none, none, none)

@@ -160,3 +160,11 @@ def test_reducers_work_in_ranges(monkeypatch):
     monkeypatch.setattr(sd, "AT_ONCE", 16)
     assert (sd.smallest_ids(contexts, 50), sd.smallest_of_windows(windows)) == whole
     assert any(np.frombuffer(r, np.int64, 1)[0] for r in whole[0]) and any(np.frombuffer(r, np.int64, 1)[0] for r in whole[1])
+
+
+def test_reducers_get_equal_shares():
+    """Anchors are least hashes of their windows; their numbers must not crowd at the low end."""
+    data = np.random.default_rng(2).integers(97, 123, 200000).astype(np.uint8)
+    anchors = sd.anchors_of(data, np.array([len(data)]), 50, 25)
+    share = np.bincount(sd._part_of(anchors.hash, 10), minlength=10) / len(anchors.hash)
+    assert share.max() < 0.12 and share.min() > 0.08
