@@ -32,10 +32,10 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/evigraph-{uuid.uuid4().hex}"
 
 
-def as_table(df: DataFrame) -> DataFrame:
+def as_table(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again: its
     lineage is cut, and it survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
