@@ -584,7 +584,7 @@ def decode_column(media: DataFrame) -> DataFrame:
 
 
 def with_features(tensors: DataFrame) -> DataFrame:
-    """``tensors`` with a ``feature`` of the stored tensor in place of ``rgb``:
+    """``tensors`` with a ``feature`` of the tensor in place of ``rgb``:
     width and height, and the mean of each channel in thousandths; null
     without a tensor."""
     names = [c for c in tensors.columns if c != "rgb"]
@@ -605,6 +605,6 @@ def with_features(tensors: DataFrame) -> DataFrame:
 
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media are decoded to tensors, those are stored as a table, and the
-    features are computed from what the table holds."""
-    return with_features(as_table(decode_column(encode_column(documents(spark, sf_dir)))))
+    """Media are stored as a table and read back; their tensors are a column, of
+    which the features are computed."""
+    return with_features(decode_column(as_table(encode_column(documents(spark, sf_dir)), "zstd")))
