@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evigraph.errors import IndexUnavailable
 from evigraph.functions.text import tokens
+from evigraph.sources.shared import as_table
 
 #: Most queries that one batch search sends to every executor.
 MAX_QUERIES = 4096
@@ -105,13 +106,18 @@ def require_vectors(vectors: DataFrame | None, where: str = "") -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score``: BM25 over lower-cased tokens, rounded to six places.
 
-    Only terms of the queries are counted in the documents; ``k`` keeps the best.
+    Only terms of the queries are counted in the documents, whose texts are read
+    once; ``k`` keeps the best.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    sizes = words.select("doc_id", F.size("w").alias("len"))
-    total = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    # The empty term stands for the document itself, with or without a hit.
+    every = F.array_append(F.coalesce("w", F.array().cast("array<string>")), F.lit(""))
+    wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    counted = words.select("doc_id", F.size("w").alias("len"), F.explode(every).alias("term")).join(wanted, "term", "left_semi")
+    tf = as_table(counted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
+    total = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).alias("avg_len"))
+    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
