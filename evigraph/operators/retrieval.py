@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from evigraph.errors import IndexUnavailable
 from evigraph.functions.text import tokens
+from evigraph.operators.bounds import broadcast_if_small
 from evigraph.sources.shared import as_table
 
 #: Most queries that one batch search sends to every executor.
 MAX_QUERIES = 4096
+#: Most terms of all queries that are broadcast.
+MAX_TERMS = 200_000
 
 
 def _ranked(scores: DataFrame, k: int, ident: str) -> DataFrame:
@@ -120,8 +123,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None, k1: float =
     tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = terms.join(tf, "term").join(df, "term").crossJoin(F.broadcast(total)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    asked = terms.join(df, "term").crossJoin(F.broadcast(total)).select("query_id", "term", "avg_len", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    # Dealt by document once, a document's scores are summed where its terms are.
+    hits = tf.repartition("doc_id").join(broadcast_if_small(asked, MAX_TERMS), "term")
+    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return scores if k is None else _ranked(scores, k, "doc_id").select("query_id", "rank", "doc_id", "score")
 
 
