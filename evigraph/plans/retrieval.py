@@ -483,7 +483,8 @@ def _channels(t: Tables, *names: str) -> dict[str, DataFrame]:
     if "vector" in names:
         out["vector"] = as_table(_vector(t))
     if "graph" in names:
-        out["graph"] = as_table(rt.graph_hits(out["lexical"].where(F.col("rank") <= SEEDS), ex.document_entities(t.documents), 10))
+        entities = as_table(ex.document_entities(t.documents))  # read twice; the texts are scanned once
+        out["graph"] = as_table(rt.graph_hits(out["lexical"].where(F.col("rank") <= SEEDS), entities, 10))
     return {n: out[n] for n in names}
 
 
