@@ -250,6 +250,8 @@ WORD_RADIUS, BOTH_RADIUS = 18, 32
 SET_TILE_ROWS, SET_TILE_SHINGLES = 16384, 8 << 20
 #: Sets of up to so many shingles are also joined exactly: few shingles make noisy bits.
 SMALL_SET = 64
+#: Slots, a power of two, in which the shingles of small sets are counted.
+SLOTS = 1 << 16
 KEY = ["kn", "kd", "kt"]
 #: A class: 128 bits of its documents' set of shingles.
 SET = ["s1", "s2"]
@@ -374,51 +376,115 @@ def verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: f
     return ok
 
 
-def set_prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in order of hash; similar sets have one of them in common."""
+def set_prefix(shingles: np.ndarray, similarity: float, seen: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles in one order for all sets; similar sets have one of them in common.
+
+    ``seen`` counts the shingles of all sets by their last bits. Shingles of
+    rarer slots come first, then those of lesser hash, so what many texts have
+    in common comes last and is in few prefixes.
+    """
     n = len(shingles)
+    if seen is not None:
+        shingles = shingles[np.lexsort((shingles, seen[shingles & np.uint64(len(seen) - 1)]))]
     return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that have the similarity, by exact counts over an inverted index."""
-    sizes = np.array([len(s) for s in sets])
-    values, value = np.unique(np.concatenate(sets), return_inverse=True)
-    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(value, kind="stable")]
+def like_rows(own: list[np.ndarray], others: list[np.ndarray], similarity: float, wanted: Callable[[int], bool] = lambda i: True) -> Iterator[tuple[int, np.ndarray]]:
+    """For each wanted set of ``own`` the positions of ``others`` that have the
+    similarity, by exact counts over an inverted index of ``others``."""
+    sizes = np.array([len(s) for s in others])
+    values, value = np.unique(np.concatenate(others), return_inverse=True)
+    holder = np.repeat(np.arange(len(others)), sizes)[np.argsort(value, kind="stable")]
     ends = np.cumsum(np.bincount(value, minlength=len(values)))
     begins = np.r_[0, ends[:-1]]
+    for i, s in enumerate(own):
+        if not wanted(i):
+            continue
+        at = np.searchsorted(values, s)
+        hit = at < len(values)
+        hit[hit] = values[at[hit]] == s[hit]
+        held = [holder[begins[v] : ends[v]] for v in at[hit]]
+        if held:
+            common = np.bincount(np.concatenate(held), minlength=len(others))
+            yield i, np.flatnonzero(common >= similarity * (len(s) + sizes - common))
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets that have the similarity; for few sets."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, own in enumerate(np.split(value, np.cumsum(sizes)[:-1])):
-        common = np.bincount(np.concatenate([holder[begins[v] : ends[v]] for v in own]), minlength=len(sets))
-        like = np.flatnonzero(common >= similarity * (sizes[i] + sizes - common))
+    for i, like in like_rows(sets, sets, similarity):
         like = like[like > i]
         left.append(np.full(len(like), i))
         right.append(like)
     return np.concatenate(left), np.concatenate(right)
 
 
-def small_links(rows: DataFrame, kinds: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``u, v``: links among the classes of small sets, without candidates by bits."""
+def set_forest(sets: list[np.ndarray], first: np.ndarray, similarity: float) -> np.ndarray:
+    """The smallest set that similar pairs link each set to.
+
+    If ``first`` differs, sets of which it is true are compared with the others
+    only. Rows whose partners they are connected to already are left out, and
+    only one row's pairs are held at a time.
+    """
+    label = np.arange(len(sets))
+    own = np.arange(len(sets)) if first.all() or not first.any() else np.flatnonzero(first)
+    others = own if len(own) == len(sets) else np.flatnonzero(~first)
+    apart = lambda i: bool((label[others] != label[own[i]]).any())
+    for i, like in like_rows([sets[x] for x in own], [sets[x] for x in others], similarity, apart):
+        met = np.unique(label[np.r_[own[i], others[like]]])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label
+
+
+def small_links(rows: DataFrame, kinds: DataFrame, words: int, similarity: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``u, v``: links among the classes of small sets, without candidates by bits.
+
+    A prefix is taken in order of rarity, so a passage that very many texts
+    have gathers only texts that hold little else. Sets are shipped only for
+    shingles that two prefixes have; a shingle of more than ``tile_rows``
+    prefixes is dealt by pairs of tiles. A task holds a pair of tiles and
+    returns a forest. Rarity is counted in ``SLOTS`` slots over all small sets.
+    """
     small = kinds.where((F.col("n") > 0) & (F.col("n") <= SMALL_SET)).select("class", "first.kn", "first.kd", "first.kt")
     texts = rows.join(small, KEY).dropDuplicates(["class"]).select("class", "text")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
-            heads = [set_prefix(x, similarity) for x in sets]
-            at = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+            sets = [shingle_set(t, words).view(np.int64) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["class"], pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+
+    sets = as_table(texts.mapInArrow(to_sets, "class long, shingles array<long>"))
+    seen = np.zeros(SLOTS, np.int64)
+    slot = F.explode(F.transform("shingles", lambda x: x.bitwiseAND(F.lit(SLOTS - 1).cast("long")))).alias("slot")
+    for r in sets.select(slot).groupBy("slot").count().collect():  # a row for each slot
+        seen[r["slot"]] = r["count"]
+
+    def to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [set_prefix(np.array(x, np.int64).view(np.uint64), similarity, seen) for x in batch["shingles"].to_pylist()]
+            at = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
             keys = np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch["class"].take(pa.array(at)), pa.array([x.tobytes() for x in sets], pa.binary()).take(pa.array(at))], ["key", "class", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch["class"].take(pa.array(at))], ["key", "class"])
+
+    heads = as_table(sets.mapInArrow(to_heads, "key long, class long"))
+    shared = heads.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
+    mine = F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")
+    dealt = (
+        heads.join(shared, "key")
+        .select("key", "class", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        .select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") <= F.col("other")).alias("first"), "class")
+    )
+    keys = ["key", "a", "b"]
+    loaded = dealt.join(sets, "class").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def link(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        a, b = set_links(sets, similarity)
-        label = lowest_label(len(sets), a, b)
+        held = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]]
+        label = set_forest(held, group["first"].astype(bool), similarity)
         child = np.flatnonzero(label != np.arange(len(label)))
         return (group["class"][label[child]], group["class"][child]) if len(child) else None
 
-    dealt = texts.mapInArrow(deal, "key long, class long, shingles binary").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(by_group(["key"], link, ["u", "v"]), "u long, v long")
+    return loaded.mapInArrow(by_group(keys, link, ["u", "v"]), "u long, v long")
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from evigraph.llm import simhash
 
@@ -36,6 +37,64 @@ def test_links_by_exact_counts():
     assert all(np.intersect1d(simhash.set_prefix(sets[i], 0.4), simhash.set_prefix(sets[j], 0.4)).size for i, j in want)
 
 
+def labels(n, pairs):
+    a, b = np.array(sorted(pairs) or [(0, 0)]).T
+    return simhash.lowest_label(n, a, b)
+
+
+def test_forest_of_sets():
+    """Within a tile and between two, against all pairs."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(120)]
+    like = {(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))}
+    assert (simhash.set_forest(sets, np.ones(120, bool), 0.4) == labels(120, like)).all()
+    first = rng.random(120) < 0.5
+    assert (simhash.set_forest(sets, first, 0.4) == labels(120, {(i, j) for i, j in like if first[i] != first[j]})).all()
+
+
+def test_a_large_cluster_of_short_texts_needs_no_room_for_its_pairs():
+    base = np.arange(60).astype(np.uint64)
+    sets = [np.unique(np.r_[np.delete(base, i % 60), np.uint64(1000 + i)]) for i in range(4000)]
+    tracemalloc.start()
+    label = simhash.set_forest(sets, np.ones(4000, bool), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == 0).all() and peak < 64 << 20  # all pairs are 16 million
+
+
+def test_rare_shingles_come_first():
+    """Of a passage that all texts have, only texts that hold little else keep a shingle in their prefix."""
+    passage = np.arange(10, dtype=np.uint64)
+    sets = [np.unique(np.r_[passage, np.arange(1000 * i, 1000 * i + 40, dtype=np.uint64) + np.uint64(100)]) for i in range(1, 31)]
+    seen = np.bincount(np.concatenate(sets).astype(np.int64) & (simhash.SLOTS - 1), minlength=simhash.SLOTS)
+    assert any(np.intersect1d(simhash.set_prefix(x, 0.8), passage).size for x in sets)
+    assert not any(np.intersect1d(simhash.set_prefix(x, 0.8, seen), passage).size for x in sets)
+
+
+def test_tiles_lose_no_link(spark):
+    """Clusters that share shingles with many more texts than a tile holds."""
+    rng = np.random.default_rng(6)
+    docs = []
+    for i in range(300):
+        w = [f"c{i % 3}w{k}" for k in range(40)]
+        for k in rng.integers(0, 40, int(rng.integers(0, 3))):
+            w[k] = f"e{int(rng.integers(0, 50))}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = simhash.keyed(df, "doc_id", "text")
+    own = simhash.as_table(simhash._set_rows(rows, 5))
+    kinds = own.groupBy(*simhash.SET).agg(F.min(F.struct(*simhash.KEY)).alias("first"), F.min("n").alias("n"))
+    kinds = simhash.as_table(kinds.withColumn("class", F.col("first.kd")))
+    sets = {r["class"]: simhash.shingle_set(docs[r["class"]][1], 5) for r in kinds.select("class").collect()}
+    ids = sorted(sets)
+    want = simhash.lowest_label(len(ids), *simhash.set_links([sets[i] for i in ids], 0.8))
+    for tile_rows in (8, 1024):
+        links = [tuple(r) for r in simhash.small_links(rows, kinds, 5, 0.8, tile_rows).collect()]
+        assert (labels(len(ids), {(ids.index(u), ids.index(v)) for u, v in links}) == want).all()
+        assert len(links) < 40 * len(ids)
+    assert len(set(want)) < len(ids)
+
+
 def bits_miss(shared, own, pairs, seed=0):
     """How many pairs of sets, with so many shingles in common and of their own, the bits don't propose."""
     rng = np.random.default_rng(seed)
