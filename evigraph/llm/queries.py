@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg_media, lexical_search, line_dedup, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, topk, toxicity, url_filter
+from . import collocations, jpeg_media, lexical_search, line_dedup, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, topk, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_topk": topk.op9_topk,
     "op10_packing": packing.op10_packing,
+    "op11_collocations": collocations.op11_collocations,
     "op12_quality_rules": quality_rules.op12_quality_rules,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
@@ -32,6 +33,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_secret_scan": secret_scan.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_quality_rules": quality_rules.OP12_SQL,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
