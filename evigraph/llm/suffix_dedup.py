@@ -47,7 +47,7 @@ from ._common import as_table, documents, pieces, text_bytes
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 FP_BYTES = 5
 #: Stands for a null document id: after all others.
-LAST = np.int64(2**63 - 1)
+FIRST, LAST = np.int64(-(2**63)), np.int64(2**63 - 1)
 #: An anchor in so many batches, or so many times in a batch, is sent by windows.
 HOT = 32
 #: Batches whose share of the anchors goes to one reducer, and how many contexts
@@ -287,7 +287,7 @@ def windows_of(batch: Batch, anchors: Anchors, distinct: np.ndarray, hot: np.nda
     window = np.empty(len(order), np.int64)
     window[order] = np.cumsum(new) - 1
     ids = batch.ids[batch.doc_of(start)]
-    least, most = np.full(new.sum(), LAST), np.full(new.sum(), -LAST)
+    least, most = np.full(new.sum(), LAST), np.full(new.sum(), FIRST)
     np.minimum.at(least, window, ids)
     np.maximum.at(most, window, ids)
     return Windows(one[order][new], two[order][new], least, most, start, window)
@@ -296,9 +296,15 @@ def windows_of(batch: Batch, anchors: Anchors, distinct: np.ndarray, hot: np.nda
 def _pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     """Ids as differences to the least: base and width, and the numbers."""
     base = int(ids.min()) if len(ids) else 0
-    near = ids - base
-    wide = np.int64 if len(near) and near.max() >= 2**32 else np.uint32
-    return np.array([base, np.dtype(wide).itemsize], np.int64).tobytes(), near.astype(wide).tobytes()
+    near = _above(ids, base)
+    return np.array([base, near.itemsize], np.int64).tobytes(), near.tobytes()
+
+
+def _above(ids: np.ndarray, base: int) -> np.ndarray:
+    """How far ids are above ``base``, unsigned as any two ids can be 2**64 - 1 apart;
+    in 32 bits if all fit. Added to ``base`` in 64 bits they are the ids again."""
+    near = ids.astype(np.int64).view(np.uint64) - np.uint64(base % 2**64)
+    return near if len(near) and near.max() >= 2**32 else near.astype(np.uint32)
 
 
 def _unpack_ids(blob: bytes, at: int, n: int, base: int, width: int) -> np.ndarray:
@@ -413,7 +419,7 @@ def contexts_of(batch: Batch, anchors: Anchors, distinct: np.ndarray, known: np.
     place[rank] = np.arange(len(rank))
     first, owner = first[rank], place[owner]
     ids = batch.ids[batch.doc_of(anchors.at[member])]
-    least, most = np.full(len(first), LAST), np.full(len(first), -LAST)
+    least, most = np.full(len(first), LAST), np.full(len(first), FIRST)
     np.minimum.at(least, owner, ids)
     np.maximum.at(most, owner, ids)
     return Contexts(anchors.hash[first], first, least, most, member, owner)
@@ -428,9 +434,8 @@ def _pack_contexts(batch: Batch, anchors: Anchors, found: Contexts, a: int, b: i
     index = np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
     base = int(found.least[a:b].min())
     head = np.array([b - a, base], np.int64).tobytes()
-    near = found.least[a:b] - base
-    wide = np.int64 if near.max() >= 2**32 else np.uint32
-    return head + bytes([np.dtype(wide).itemsize]) + found.hash[a:b].tobytes() + back.tobytes() + size.astype(np.uint16).tobytes() + near.astype(wide).tobytes() + (found.most[a:b] > found.least[a:b]).tobytes() + batch.data[index].tobytes()
+    near = _above(found.least[a:b], base)
+    return head + bytes([near.itemsize]) + found.hash[a:b].tobytes() + back.tobytes() + size.astype(np.uint16).tobytes() + near.tobytes() + (found.most[a:b] > found.least[a:b]).tobytes() + batch.data[index].tobytes()
 
 
 def _unpack_contexts(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -474,11 +479,10 @@ def smallest_ids(blobs: list[bytes], length: int) -> list[bytes]:
     for own in found:
         told, runs, width, ids = (np.concatenate([x[i] for x in own]) if own else np.zeros(0, np.int64) for i in range(4))
         base = int(ids.min()) if len(ids) else 0
-        near = ids - base
-        wide = np.int64 if len(near) and near.max() >= 2**32 else np.uint32
-        head = np.array([len(told), len(ids), base, np.dtype(wide).itemsize], np.int64).tobytes()
+        near = _above(ids, base)
+        head = np.array([len(told), len(ids), base, near.itemsize], np.int64).tobytes()
         short = np.uint8 if length < 250 else np.uint16
-        replies.append(head + told.astype(np.uint32).tobytes() + runs.astype(short).tobytes() + width.astype(np.uint16).tobytes() + near.astype(wide).tobytes())
+        replies.append(head + told.astype(np.uint32).tobytes() + runs.astype(short).tobytes() + width.astype(np.uint16).tobytes() + near.tobytes())
     return replies
 
 

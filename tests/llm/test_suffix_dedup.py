@@ -168,3 +168,37 @@ def test_reducers_get_equal_shares():
     anchors = sd.anchors_of(data, np.array([len(data)]), 50, 25)
     share = np.bincount(sd._part_of(anchors.hash, 10), minlength=10) / len(anchors.hash)
     assert share.max() < 0.12 and share.min() > 0.08
+
+
+FAR = [-(2**63), -(2**63) + 1, -5, 0, 3, 7, 2**32, 2**62, 2**63 - 2, None]
+
+
+@given(st.lists(st.integers(-(2**63), 2**63 - 2), min_size=1, max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_packed_ids_are_read_back(ids):
+    ids = np.array([*ids, 2**63 - 1])
+    head, near = sd._pack_ids(ids)
+    base, width = (int(x) for x in np.frombuffer(head, np.int64))
+    assert sd._unpack_ids(near, 0, len(ids), base, width).tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_ids_that_are_far_apart(spark, copies):
+    """Negative and null ids in one piece; with many copies anchors are hot."""
+    rng = random.Random(copies)
+    own = {i: "".join(rng.choice("abcdefgh ") for _ in range(200)) for i in FAR}
+    shared = "".join(rng.choice("xyz ") for _ in range(200))
+    docs = [(i, own[i] + (shared if i in (None, 3, 2**62) else "")) for i in FAR]
+    docs += [(1000 + i, f"{i} " + shared) for i in range(copies)]
+    docs += [(-(2**63), own[-(2**63)] + own[7]), (None, own[None] + own[2**62])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    same(sd.remove_repeats(df), [(i, t.encode()) for i, t in docs])
+    same(sd.remove_repeats(df, batch_bytes=500), [(i, t.encode()) for i, t in docs])
+
+
+def test_no_text_goes_that_no_smaller_document_has(spark):
+    """Null and 3 share a passage; -5 has none of it."""
+    rng = random.Random(1)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3))
+    got = {r.doc_id: r.n_removed for r in sd.remove_repeats(spark.createDataFrame([(-5, b), (7, c), (None, a), (3, a)], "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {-5: 0, 7: 0, None: 200, 3: 0}
