@@ -127,7 +127,7 @@ def test_voters_have_both_polarities():
     silent = [0] * len(tx.PATTERNS)
     assert tx.cast_votes("a vile zorkling " + "word " * 30, voters) == [1, 1, *silent]
     assert tx.cast_votes("plain word " * 30, voters) == [-1, -1, *silent]
-    assert tx.cast_votes("too short", voters) == [0, 0, *silent]
+    assert tx.cast_votes("short", voters) == [-1, -1, *silent]
     assert tx.cast_votes("", voters) == [0, 0, *silent]
 
 
@@ -153,3 +153,23 @@ def test_ids_that_are_not_numbers(spark, corpus):
     docs, labels = (d.withColumn("doc_id", F.concat(F.lit("n"), "doc_id")) for d in corpus)
     got = tx.toxicity(docs, labels).join(labels, "doc_id")
     assert got.where("predicted = toxic").count() > 0.97 * got.count()
+
+
+@pytest.mark.parametrize("size,bad_words,share", [(3, 1, 0.2), (3, 2, 0.2), (12, 2, 0.2), (19, 2, 0.2), (12, 2, 0.62), (None, 2, 0.1)])
+def test_short_texts_are_told_apart(spark, size, bad_words, share):
+    """Texts of few words, of all lengths, and where most are toxic; empty ones stay."""
+    rng = np.random.default_rng(1)
+    plain, bad = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)], [f"{'vile' if i % 2 else 'grim'}{chr(97 + i)}thing" for i in range(20)]
+    docs, labels = [(-1, ""), (-2, None)], []
+    for i in range(2000):
+        n = size or int(rng.choice([3, 8, 20, 120]))
+        words, toxic = rng.choice(plain, n).tolist(), int(rng.random() < share)
+        for at in rng.choice(n, bad_words, replace=False) if toxic else ():
+            words[at] = str(rng.choice(bad))
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    got = tx.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)).collect()
+    held = [r for r in got if r.held_out and r.doc_id >= 0]
+    assert np.mean([r.predicted for r in held if labels[r.doc_id][2]]) >= 0.9
+    assert np.mean([r.predicted for r in held if not labels[r.doc_id][2]]) <= 0.02
+    assert all(r.score < 0.5 for r in got if r.doc_id < 0)
