@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,7 +40,7 @@ SCALE = 2_000_000
 #: Positions of a block, words of a shard, and bitmap blocks of a group of first words.
 BLOCK = 16
 SHARD_WORDS = 1 << 20
-GROUP_BLOCKS = 1 << 16
+GROUP_BLOCKS = 1 << 15
 #: Bits of a bit array: 16 for each entry, within these powers of two (64 MB at most).
 LEAST_BITS, MOST_BITS = 20, 29
 #: Tasks that rows of one part of a phrase are dealt over.
@@ -71,17 +70,16 @@ def position_bitmaps(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return pointers.astype(np.int64), block[begin].astype(np.int32), bits
 
 
-def _shard(lang: str, words: list[bytes]) -> pa.RecordBatch:
-    array = np.empty(len(words) + 1, object)
-    array[:] = [b".", *words]
-    codes, vocabulary = pd.factorize(array)
-    codes = codes.astype(np.int64) - 1  # the stop is the first code
+def _shard(lang: str, vocabulary: dict[bytes, int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    """A shard's row; the stop is the first of the vocabulary."""
+    codes = np.concatenate(parts) - 1
+    words = list(vocabulary)[1:]
     pointers, blocks, bits = position_bitmaps(codes)
     seed = xxhash.xxh64_intdigest(lang.encode())
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in vocabulary[1:]], np.uint64)
-    counts = np.bincount(codes[codes >= 0], minlength=len(vocabulary) - 1).astype(np.int64)
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+    counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
     row = {
-        "lang": lang, "n": int(counts.sum()), "positions": len(codes), "words": b" ".join(vocabulary[1:]), "hashes": hashes.tobytes(),
+        "lang": lang, "n": int(counts.sum()), "positions": len(codes), "words": b" ".join(words), "hashes": hashes.tobytes(),
         "counts": counts.tobytes(), "pointers": pointers.tobytes(), "blocks": blocks.tobytes(), "bits": bits.tobytes(),
     }
     return pa.RecordBatch.from_pydict({c: pa.array([row[c]], kind) for c, kind in _KINDS.items()})
@@ -89,19 +87,20 @@ def _shard(lang: str, words: list[bytes]) -> pa.RecordBatch:
 
 def _sharded(shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        total = 0
+        held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+        sizes: dict[str, int] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                words = (text or b"").translate(_FOLD).replace(b".", b" . ").split()
-                held.setdefault(lang, []).extend([*words, b"."])
-                total += len(words) + 1
-                while total >= shard_words:
-                    largest = max(held, key=lambda x: len(held[x]))
-                    total -= len(held[largest])
-                    yield _shard(largest, held.pop(largest))
-        for lang, words in held.items():
-            yield _shard(lang, words)
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
+                words = text.as_py().translate(_FOLD).replace(b".", b" . ").split()
+                vocabulary, parts = held.setdefault(lang, ({b".": 0}, []))
+                parts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in [*words, b"."]], np.int32))
+                sizes[lang] = sizes.get(lang, 0) + len(words) + 1
+                while sum(sizes.values()) >= shard_words:
+                    largest = max(sizes, key=sizes.__getitem__)
+                    del sizes[largest]
+                    yield _shard(largest, *held.pop(largest))
+        for lang, own in held.items():
+            yield _shard(lang, *own)
 
     return run
 
