@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evigraph.sources.shared import new_path
+
 from ._common import as_table, documents
 
 LEAST = 30
@@ -39,8 +41,10 @@ SCALE = 2_000_000
 
 #: Positions of a block, words of a shard, and bitmap blocks of a group of first words.
 BLOCK = 16
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 GROUP_BLOCKS = 1 << 15
+#: Bytes of a row group of the shards' table: tasks are dealt whole groups.
+ROW_GROUP = 4 << 20
 #: Bits of a bit array: 16 for each entry, within these powers of two (64 MB at most).
 LEAST_BITS, MOST_BITS = 20, 29
 #: Tasks that rows of one part of a phrase are dealt over.
@@ -248,7 +252,10 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str, lang
     """``lang, phrase, size, a`` of all phrases that occur ``least`` times or more,
     and ``lang, total``: the words of each language. Both are tables."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    shards = as_table(docs.select(lang, F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(_sharded(shard_words), _SHARD))
+    texts = docs.select(lang, F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    path = new_path(docs.sparkSession)
+    texts.mapInArrow(_sharded(shard_words), _SHARD).write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    shards = docs.sparkSession.read.schema(_SHARD).parquet(path)
     words = _frequent(shards.select("hashes", "counts").mapInArrow(_word_counts, "h long, n long"), least, most_bits)
     pairs = _frequent(shards.mapInArrow(_pair_counts(words), "h long, n long"), least, most_bits)
     counts = shards.mapInArrow(_phrase_counts(words, pairs, longest), "lang string, phrase string, size int, n long")
