@@ -10,6 +10,7 @@ from evigraph.functions import text as tx
 from evigraph.operators import evaluation as ev
 from evigraph.operators import extraction as ex
 from evigraph.operators import graph as gr
+from evigraph.operators import postings as po
 from evigraph.operators import retrieval as rt
 from evigraph.operators import seams
 from evigraph.sources import pdf, web
@@ -462,8 +463,10 @@ def _gold(t: Tables) -> DataFrame:
     return tx.locate_spans(t.documents, t.benchmark).select(F.col("item_id").alias("query_id"), "doc_id")
 
 
-def _lexical(t: Tables) -> DataFrame:
-    return rt.bm25(_questions(t), t.documents, 10)
+def _lexical(t: Tables, questions: DataFrame | None = None) -> DataFrame:
+    """The best ten of an index of the questions' terms."""
+    asked = _questions(t) if questions is None else questions
+    return po.search(po.build(t.documents, asked=asked), asked, 10)
 
 
 def _vector(t: Tables) -> DataFrame:
@@ -546,9 +549,12 @@ def f06(t: Tables) -> DataFrame:
     return rt.history(t.conversations, 3)
 
 
-@query("f07_bm25", f"SELECT query_id, doc_id, score FROM {_BM25}")
+@query("f07_bm25", f"SELECT query_id, rank, doc_id, score FROM {_LEX}")
 def f07(t: Tables) -> DataFrame:
-    return rt.bm25(_questions(t), t.documents)
+    """The best ten of a whole index that is written, loaded again and searched."""
+    path = new_path(t.spark)
+    po.save(po.build(t.documents), path)
+    return po.search(po.load(t.spark, path), _questions(t), 10)
 
 
 def _reranked_sql() -> str:
@@ -574,7 +580,7 @@ def f09(t: Tables) -> DataFrame:
     """Questions that are declined, with three planted ones."""
     odd = [(-1, "Should I buy this share now?"), (-2, "A forecast of the price, please"), (-3, "zzzz qqqq")]
     asked = _questions(t).unionByName(t.spark.createDataFrame(odd, "query_id long, text string"))
-    return rt.declined(asked, rt.bm25(asked, t.documents, 10), 20.0)
+    return rt.declined(asked, _lexical(t, asked), 20.0)
 
 
 # --- evaluation -----------------------------------------------------------------
