@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.errors import IndexUnavailable
 from evigraph.functions import text as tx
+from evigraph.operators import cells as ce
 from evigraph.operators import evaluation as ev
 from evigraph.operators import extraction as ex
 from evigraph.operators import graph as gr
@@ -279,6 +280,35 @@ def d06(t: Tables) -> DataFrame:
     return rt.vector_ann(_asked(t), t.embeddings, 5)
 
 
+#: Cells of the stored index, and those that a search probes.
+_CELLS, _PROBES = 16, 12
+
+
+def _cells(t: Tables) -> ce.Cells:
+    return ce.build(t.embeddings, new_path(t.spark), _CELLS)
+
+
+@query("a08_cells", "SELECT vec_id, len(embedding)::BIGINT AS dim, 1::BIGINT AS copies FROM embeddings")
+def a08c(t: Tables) -> DataFrame:
+    """Every row is in one cell of the index that is loaded."""
+    return _cells(t).rows.groupBy("vec_id").agg(F.max(F.size("embedding")).cast("long").alias("dim"), F.count("*").alias("copies"))
+
+
+@query("d06_cells_all", _TOP)
+def d06a(t: Tables) -> DataFrame:
+    """All cells probed: the exact result."""
+    return ce.search(_cells(t), _asked(t), 5, _CELLS)
+
+
+@query("d06_cells_recall", f"SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS enough FROM ({_TOP})")
+def d06r(t: Tables) -> DataFrame:
+    """Whether the probed cells hold nine tenths of the exact top five."""
+    exact = rt.vector_topk(_asked(t), t.embeddings, 5).select("query_id", "vec_id")
+    found = ce.search(_cells(t), _asked(t), 5, _PROBES).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("d07_index_available", "SELECT 'embeddings' AS name, 0 AS code, count(*) AS n FROM embeddings UNION ALL SELECT 'missing', 3003, 0")
 def d07(t: Tables) -> DataFrame:
     """Whether each index is there, with the error code if not."""
