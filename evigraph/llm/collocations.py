@@ -43,8 +43,9 @@ SCALE = 2_000_000
 BLOCK = 16
 SHARD_WORDS = 1 << 18
 GROUP_BLOCKS = 1 << 15
-#: Bytes of a row group of the shards' table: tasks are dealt whole groups.
-ROW_GROUP = 4 << 20
+#: Row groups of the shards' table: their size is looked at after each row, since
+#: rows are large and tasks are dealt whole groups.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Bits of a bit array: 16 for each entry, within these powers of two (64 MB at most).
 LEAST_BITS, MOST_BITS = 20, 29
 #: Tasks that rows of one part of a phrase are dealt over.
@@ -254,7 +255,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str, lang
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
     texts = docs.select(lang, F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     path = new_path(docs.sparkSession)
-    texts.mapInArrow(_sharded(shard_words), _SHARD).write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    texts.mapInArrow(_sharded(shard_words), _SHARD).write.options(**ROW_GROUPS).parquet(path)
     shards = docs.sparkSession.read.schema(_SHARD).parquet(path)
     words = _frequent(shards.select("hashes", "counts").mapInArrow(_word_counts, "h long, n long"), least, most_bits)
     pairs = _frequent(shards.mapInArrow(_pair_counts(words), "h long, n long"), least, most_bits)
