@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from evigraph.operators import cells as ce
 from evigraph.operators import evaluation as ev
 from evigraph.operators import extraction as ex
 from evigraph.operators import graph as gr
+from evigraph.operators import linkage as ln
 from evigraph.operators import postings as po
 from evigraph.operators import retrieval as rt
 from evigraph.operators import seams
@@ -222,6 +225,80 @@ def c05(t: Tables) -> DataFrame:
     return ex.link_entities(ex.extract_entities(t.documents))
 
 
+#: Customers as a second source has them: each fifth one again, under another id, with
+#: two digits of its name swapped, its name's parts swapped, or its nation missing.
+_DIGITS = "substring(c_name, 10)"
+_SECOND = {
+    0: "concat(substring(c_name, 1, 16), substring(c_name, 18, 1), substring(c_name, 17, 1))",
+    1: f"concat({_DIGITS}, ' Customer')",
+    2: "concat(c_name, 'x')",
+}
+_FIELDS: ln.Comparisons = {
+    "name": ["l.name = r.name", "levenshtein(l.name, r.name) <= 2 OR l.digits = r.digits"],
+    "nation": ["l.nation = r.nation"],
+    "segment": ["l.segment = r.segment"],
+    "balance": ["l.balance = r.balance", "abs(l.balance - r.balance) < 100"],
+}
+_BLOCKS = ["cast(nation AS string) || ' ' || cast(cast(floor(balance / 1000) AS bigint) AS string)", "segment || ' ' || cast(cast(floor(balance) AS bigint) AS string)", "digits"]
+
+
+def _records_sql() -> str:
+    other = " ".join(f"WHEN {k} THEN {v}" for k, v in _SECOND.items())
+    return f"""(SELECT 'a' || c_custkey AS rec_id, c_name AS name, {_DIGITS} AS digits, c_nationkey AS nation, c_mktsegment AS segment, c_acctbal AS balance FROM customer
+UNION ALL SELECT 'b' || c_custkey, CASE (c_custkey // 5) % 3 {other} END, CASE WHEN (c_custkey // 5) % 3 = 1 THEN {_DIGITS} END,
+CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 5 = 0)"""
+
+
+def _records(t: Tables) -> DataFrame:
+    return t.spark.sql("SELECT * FROM " + _records_sql().replace("FROM customer", "FROM {customer}").replace("//", "div"), customer=t.customer)
+
+
+def _linkage_sql(rounds: int) -> str:
+    """The pairs' weights: the rounds of the estimate are unrolled."""
+    names, sizes = list(_FIELDS), [len(c) for c in _FIELDS.values()]
+    levels = []
+    for f, conditions in _FIELDS.items():
+        whens = " ".join(f"WHEN {c} THEN {len(conditions) - i}" for i, c in enumerate(conditions))
+        levels.append(f"CASE WHEN l.{f} IS NULL OR r.{f} IS NULL THEN -1 {whens} ELSE 0 END AS g_{f}")
+    same = " OR ".join("(" + " = ".join(f"({_prefixed(b, s)})" for s in "lr") + ")" for b in _BLOCKS)
+    prior, best_m, best_u = ln.START
+    start = ", ".join(
+        f"({f}, {level}, {best_m if level == n else (1 - best_m) / n!r}, {best_u if level == n else (1 - best_u) / n!r})" for f, n in enumerate(sizes) for level in range(n + 1)
+    )
+    parts = [f"rec AS MATERIALIZED (SELECT * FROM {_records_sql()})", f"prs AS MATERIALIZED (SELECT l.rec_id AS a, r.rec_id AS b, {', '.join(levels)} FROM rec l JOIN rec r ON l.rec_id < r.rec_id AND ({same}))",
+             f"pat AS MATERIALIZED (SELECT {', '.join('g_' + n for n in names)}, count(*)::DOUBLE AS n FROM prs GROUP BY ALL)",
+             f"par0 AS MATERIALIZED (SELECT f, level, m::DOUBLE AS m, u::DOUBLE AS u, {prior}::DOUBLE AS prior FROM (VALUES {start}) v(f, level, m, u))"]
+    product = lambda c: " * ".join(f"coalesce(p{f}.{c}, 1)" for f in range(len(names)))
+    joins = lambda i: " ".join(f"LEFT JOIN par{i} p{f} ON p{f}.f = {f} AND p{f}.level = g_{n}" for f, n in enumerate(names))
+    columns = ", ".join(f"g_{n}" for n in names)
+    for i in range(1, rounds + 1):
+        parts.append(f"""post{i} AS MATERIALIZED (SELECT {columns}, n, n * yes / (yes + no) AS hit FROM (SELECT {columns}, n, q.prior * {product('m')} AS yes, (1 - q.prior) * {product('u')} AS no
+FROM pat CROSS JOIN (SELECT any_value(prior) AS prior FROM par{i - 1}) q {joins(i - 1)}))""")
+        got = " UNION ALL ".join(f"SELECT {f} AS f, g_{n} AS level, sum(hit) AS hit, sum(n - hit) AS miss FROM post{i} WHERE g_{n} >= 0 GROUP BY 2" for f, n in enumerate(names))
+        parts.append(f"""par{i} AS MATERIALIZED (SELECT f, level, m / sum(m) OVER w AS m, u / sum(u) OVER w AS u, (SELECT sum(hit) / sum(n) FROM post{i}) AS prior
+FROM (SELECT s.f AS f, s.level AS level, coalesce(hit, 0) + {ln.PSEUDO} AS m, coalesce(miss, 0) + {ln.PSEUDO} AS u FROM par0 s LEFT JOIN ({got}) g USING (f, level)) WINDOW w AS (PARTITION BY f))""")
+    ratio = " + ".join(f"coalesce(log2(p{f}.m / p{f}.u), 0)" for f in range(len(names)))
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT a, b, round(log2(q.prior / (1 - q.prior)) + {ratio}, 6) AS weight FROM prs CROSS JOIN (SELECT any_value(prior) AS prior FROM par{rounds}) q {joins(rounds)}"""
+
+
+def _prefixed(expression: str, side: str) -> str:
+    """A block's key over one side of a pair."""
+    return reduce(lambda text, name: text.replace(name, f"{side}.{name}"), ("nation", "segment", "balance", "digits"), expression)
+
+
+@query("c05_pair_weights", _linkage_sql(ln.ROUNDS))
+def c05w(t: Tables) -> DataFrame:
+    """Weights of the pairs of customers and their second source."""
+    return ln.weighted(as_table(ln.candidate_pairs(_records(t), _FIELDS, _BLOCKS)), _FIELDS).select("a", "b", "weight")
+
+
+@query("c05_linked_records")
+def c05l(t: Tables) -> DataFrame:
+    """Entities of customers and their second source."""
+    return ln.link_records(_records(t), _FIELDS, _BLOCKS)
+
+
 @query("c06_nodes", f"SELECT * FROM {_NODES}")
 def c06(t: Tables) -> DataFrame:
     return gr.build_graph(t).nodes
