@@ -78,3 +78,26 @@ def measured(df: DataFrame, name: str, **metrics) -> DataFrame:
     observed.write.format("noop").mode("overwrite").save()
     rows = [(k, None if v is None else float(v)) for k, v in seen.get.items()]
     return df.sparkSession.createDataFrame(rows, "metric string, value double")
+
+
+#: Bounds of a uniform number between the values of a Poisson variable of mean one.
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
+
+
+def paired_bootstrap(scores: DataFrame, replicates: int = 200, level: float = 0.95) -> DataFrame:
+    """``n_queries, gain, low, high``: the mean of ``b - a`` and its interval.
+
+    ``scores`` has ``query_id, a, b``. In each replicate every query has a weight,
+    a Poisson number made from a hash of both, so both scores of a query are
+    drawn together, tasks need no common generator, and repeated runs are equal.
+    Queries with a missing score are left out.
+    """
+    used = scores.where("a IS NOT NULL AND b IS NOT NULL").select("query_id", (F.col("b") - F.col("a")).alias("d"))
+    drawn = used.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    hashed = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("replicate").cast("string")))
+    u = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / 2.0**32
+    weight = sum((F.when(u >= bound, 1.0).otherwise(0.0) for bound in POISSON), F.lit(0.0))
+    means = drawn.withColumn("w", weight).groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("gain"))
+    side = (1 - level) / 2
+    bounds = means.agg(F.round(F.percentile("gain", side), 6).alias("low"), F.round(F.percentile("gain", 1 - side), 6).alias("high"))
+    return used.agg(F.count("*").alias("n_queries"), F.round(F.avg("d"), 6).alias("gain")).crossJoin(bounds)  # a row each

@@ -85,6 +85,30 @@ def expand(
     return reached
 
 
+def earliest_arrival(g: Graph, ids: list[str], max_hops: int, start: str = "1900-01-01", direction: str = "out") -> DataFrame:
+    """``node_id, arrival``: when each node is reached first by a path whose edges'
+    times don't go back, from the ids at ``start``, in at most ``max_hops`` hops.
+
+    An edge is walked at its time, which must not be before the arrival at its
+    near end; an edge without a time is walked at once. Labels are corrected
+    hop by hop: a node is walked from again when its arrival was lowered.
+    Minima are taken before the shuffle; labels and fronts are tables.
+    """
+    walked = _directed(g.edges, direction).select("at", "to", "valid_time")
+    labels = as_table(lookup(g, *ids).select("node_id", F.lit(start).cast("date").alias("arrival")).distinct())
+    front = labels
+    for _ in range(max_hops):
+        near = front.join(walked, F.col("node_id") == F.col("at")).where("valid_time IS NULL OR valid_time >= arrival")
+        near = near.groupBy("to").agg(F.min(F.coalesce("valid_time", "arrival")).alias("new"))
+        both = labels.join(near, F.col("node_id") == F.col("to"), "full")
+        both = both.select(F.coalesce("node_id", "to").alias("node_id"), F.least("arrival", "new").alias("arrival"), (F.col("arrival").isNull() | (F.col("new") < F.col("arrival"))).alias("lower"))
+        both = as_table(both)
+        labels, front = both.select("node_id", "arrival"), both.where("lower").select("node_id", "arrival")
+        if front.isEmpty():
+            break
+    return labels
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, component``: the smallest id that each node is connected with.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evigraph.errors import IndexUnavailable
 from evigraph.functions import text as tx
 from evigraph.operators import cells as ce
+from evigraph.operators import communities as cm
 from evigraph.operators import evaluation as ev
 from evigraph.operators import extraction as ex
 from evigraph.operators import graph as gr
@@ -434,6 +435,14 @@ def e04(t: Tables) -> DataFrame:
     return gr.expand(_stored(t), ["r1"], 3, "1994-01-01", "1994-12-31", direction="in")
 
 
+@query("e04_earliest_arrival", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS a, dst AS b, valid_time FROM {_EDGES} UNION ALL SELECT dst, src, valid_time FROM {_EDGES}),
+r(node_id, arrival, hops) AS (SELECT 'c7', DATE '1995-01-01', 0 UNION SELECT b, coalesce(valid_time, arrival), hops + 1 FROM r JOIN e ON a = node_id WHERE hops < 3 AND (valid_time IS NULL OR valid_time >= arrival))
+SELECT node_id, min(arrival) AS arrival FROM r GROUP BY 1""")
+def e04a(t: Tables) -> DataFrame:
+    """When a customer's influence from 1995 on reaches what is within three hops."""
+    return gr.earliest_arrival(_stored(t), ["c7"], 3, "1995-01-01", "both")
+
+
 @query("e05_common_neighbors", f"SELECT a.dst AS node_id FROM (SELECT DISTINCT dst FROM {_EDGES} WHERE src = 'p1') a JOIN (SELECT DISTINCT dst FROM {_EDGES} WHERE src = 'p2') b ON a.dst = b.dst UNION SELECT a.src FROM (SELECT src FROM {_EDGES} WHERE dst = 'p1') a JOIN (SELECT src FROM {_EDGES} WHERE dst = 'p2') b ON a.src = b.src")
 def e05(t: Tables) -> DataFrame:
     return gr.common_neighbors(gr.build_graph(t), ["p1", "p2"])
@@ -504,6 +513,13 @@ def e11(t: Tables) -> DataFrame:
     return gr.components(nodes, edges)
 
 
+@query("e11_communities")
+def e11c(t: Tables) -> DataFrame:
+    """Communities of the whole graph."""
+    g = _stored(t)
+    return cm.communities(g.nodes, g.edges)
+
+
 def _rank_sql(rounds: int) -> str:
     parts = [f"ids AS MATERIALIZED (SELECT DISTINCT node_id FROM {_NODES} WHERE node_type IN ('region', 'nation', 'supplier'))",
              f"l AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_EDGES} WHERE rel IN ('nation_in_region', 'supplier_in_nation'))",
@@ -759,6 +775,24 @@ def g05(t: Tables) -> DataFrame:
     return ev.compare(_runs(t), list(_COMPARED))
 
 
+def _recall_sql(config: str) -> str:
+    return f"SELECT query_id, round(count(h.doc_id) / count(*), 6) AS recall FROM {_HITS} g LEFT JOIN {_fused_sql(config)} h USING (query_id, doc_id) GROUP BY 1"
+
+
+_WEIGHT = " + ".join(f"(u >= {bound})::INT" for bound in ev.POISSON)
+
+
+@query("g05_gain_interval", f"""WITH s AS (SELECT a.query_id AS query_id, b.recall - a.recall AS d FROM ({_recall_sql('A')}) a JOIN ({_recall_sql('C')}) b USING (query_id)),
+m AS (SELECT replicate, sum(w * d) / nullif(sum(w), 0) AS gain FROM (SELECT replicate, d, {_WEIGHT} AS w FROM (
+SELECT replicate, d, ('0x' || md5(query_id || ':' || replicate)[1:8])::BIGINT / 4294967296 AS u FROM s, range(1, 201) r(replicate))) GROUP BY 1)
+SELECT (SELECT count(*) FROM s) AS n_queries, (SELECT round(avg(d), 6) FROM s) AS gain, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high FROM m""")
+def g05g(t: Tables) -> DataFrame:
+    """What the graph adds to the baseline's recall, with its interval."""
+    gold, runs = as_table(_gold(t)), run_configs(t, "A", "C")
+    recall = {c: ev.evidence_recall(runs[c], gold).select("query_id", F.col("recall").alias(n)) for c, n in (("A", "a"), ("C", "b"))}
+    return ev.paired_bootstrap(recall["A"].join(recall["C"], "query_id"))
+
+
 @query("c09_model_mean", f"SELECT metric, round(avg(value), 6) AS value FROM {_RUNS} GROUP BY 1")
 def c09(t: Tables) -> DataFrame:
     """Each metric's mean over the three runs."""
