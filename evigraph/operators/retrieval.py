@@ -181,10 +181,28 @@ def declined(questions: DataFrame, hits: DataFrame, least: float) -> DataFrame:
     return questions.join(best, "query_id", "left").select("query_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def evidence(hits: DataFrame, docs: DataFrame, width: int | None = 80) -> DataFrame:
-    """Ranked hits with the head of their source text; without ``width``, all of it."""
-    text = F.col("text") if width is None else F.substring("text", 1, width)
-    return hits.join(docs.select("doc_id", "source", text.alias("excerpt")), "doc_id").select("query_id", "rank", "doc_id", "score", "channel", "source", "excerpt")
+#: Characters of an excerpt before the word that it is cut around.
+LEAD = 30
+
+
+def evidence(hits: DataFrame, docs: DataFrame, width: int | None = 80, questions: DataFrame | None = None) -> DataFrame:
+    """Ranked hits with their source's text, or an excerpt of ``width`` characters.
+
+    With ``questions`` (query_id, text) the excerpt is cut around the first place
+    of the question's longest word that the text has, of equal ones the first in
+    order, and ``start`` tells where it begins, counted from 1. Texts without such
+    a word, and all without ``questions``, are cut at their head.
+    """
+    found = hits.join(docs.select("doc_id", "source", "text"), "doc_id")
+    start = F.lit(1).cast("long")
+    if questions is not None:
+        longest = F.array_sort(F.transform(F.array_distinct(tokens(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+        found = found.join(questions.select("query_id", longest.alias("asked")), "query_id", "left").withColumn("low", F.lower("text"))
+        places = F.transform("asked", lambda x: F.position(x["w"], F.col("low")))
+        first = F.coalesce(F.get(F.filter(places, lambda n: n > 0), F.lit(0)), F.lit(1))
+        start = F.greatest(first - LEAD, F.lit(1)).cast("long")
+    excerpt = F.col("text") if width is None else F.substring(F.col("text"), start.cast("int"), F.lit(width))
+    return found.select("query_id", "rank", "doc_id", "score", "channel", "source", start.alias("start"), excerpt.alias("excerpt"))
 
 
 def history(conversations: DataFrame, conv_id: int) -> DataFrame:
