@@ -521,8 +521,8 @@ def e11c(t: Tables) -> DataFrame:
 
 
 def _rank_sql(rounds: int) -> str:
-    parts = [f"ids AS MATERIALIZED (SELECT DISTINCT node_id FROM {_NODES} WHERE node_type IN ('region', 'nation', 'supplier'))",
-             f"l AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_EDGES} WHERE rel IN ('nation_in_region', 'supplier_in_nation'))",
+    parts = [f"ids AS MATERIALIZED (SELECT DISTINCT node_id FROM {_NODES})",
+             f"l AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_EDGES})",
              "w AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS part FROM l)",
              "k0 AS (SELECT node_id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS r FROM ids)"]
     for i in range(1, rounds + 1):
@@ -533,10 +533,8 @@ def _rank_sql(rounds: int) -> str:
 
 @query("e11_page_rank", _rank_sql(5))
 def e11r(t: Tables) -> DataFrame:
-    """PageRank of regions, nations and suppliers."""
-    g = gr.build_graph(t)
-    part = Graph(g.nodes.where("node_type IN ('region', 'nation', 'supplier')"), g.edges.where("rel IN ('nation_in_region', 'supplier_in_nation')"))
-    return gr.page_rank(part, 5).select("node_id", F.round("rank", 9).alias("rank"))
+    """PageRank of the whole graph."""
+    return gr.page_rank(gr.build_graph(t), 5).select("node_id", F.round("rank", 9).alias("rank"))
 
 
 # --- fusion, answers, history -----------------------------------------------------
@@ -743,7 +741,7 @@ def g03(t: Tables) -> DataFrame:
     return ev.prf(found, ex.extract_entities(t.documents), ["doc_id", "value"], "kind")
 
 
-_COMPARED = ("A", "C", "E")
+_COMPARED = tuple(CONFIGS)
 
 
 def _qa_sql(config: str) -> str:
@@ -756,7 +754,7 @@ def g04(t: Tables) -> DataFrame:
     """Mean answer score by configuration."""
     gold = as_table(_gold(t))
     parts = [ev.qa_scores(hits, gold).select(F.lit(c).alias("metric"), "value") for c, hits in run_configs(t, *_COMPARED).items()]
-    return ev.model_mean(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return ev.model_mean(reduce(DataFrame.unionByName, parts))
 
 
 def _found_sql(config: str) -> str:
@@ -774,7 +772,7 @@ def _runs(t: Tables) -> DataFrame:
     for c, hits in run_configs(t, *_COMPARED).items():
         whole = ev.evidence_recall(hits, gold).agg(F.avg("recall").alias("recall"), F.avg("complete").alias("complete"))
         parts.append(whole.unpivot([], ["recall", "complete"], "metric", "value").select(F.lit(c).alias("config"), "metric", "value"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("g05_compare", f"SELECT metric, {', '.join(f'round(max(value) FILTER (WHERE config = {chr(39)}{c}{chr(39)}), 6) AS {c}' for c in _COMPARED)} FROM {_RUNS} GROUP BY 1")
@@ -802,7 +800,7 @@ def g05g(t: Tables) -> DataFrame:
 
 @query("c09_model_mean", f"SELECT metric, round(avg(value), 6) AS value FROM {_RUNS} GROUP BY 1")
 def c09(t: Tables) -> DataFrame:
-    """Each metric's mean over the three runs."""
+    """Each metric's mean over the six runs."""
     return ev.model_mean(_runs(t))
 
 
