@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from evigraph.sources.shared import new_path
 from evigraph.sources.tables import Tables
 
 from .registry import query
@@ -141,14 +142,21 @@ def j14(t: Tables) -> DataFrame:
 
 @query("j14_bucketed", "SELECT o_orderstatus, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def j14b(t: Tables) -> DataFrame:
-    """Both sides stored in buckets of the key: neither side is shuffled for the join."""
+    """Both sides stored in buckets of the key: neither side is shuffled for the join.
+
+    The files are in the shared folder; the names leave the catalogue once the
+    plan has what it needs of them.
+    """
     tag = uuid.uuid4().hex
     for name, columns, key in (("orders", ["o_orderkey", "o_orderstatus"], "o_orderkey"), ("lineitem", ["l_orderkey", "l_quantity"], "l_orderkey")):
         writer = getattr(t, name).select(*columns).repartition(8, key).write.format("parquet")
-        writer.bucketBy(8, key).sortBy(key).saveAsTable(f"evigraph_{name}_{tag}")
+        writer.bucketBy(8, key).sortBy(key).option("path", new_path(t.spark)).saveAsTable(f"evigraph_{name}_{tag}")
     o, items = (t.spark.table(f"evigraph_{n}_{tag}") for n in ("orders", "lineitem"))
     both = items.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    out = both.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    for name in ("orders", "lineitem"):
+        t.spark.sql(f"DROP TABLE evigraph_{name}_{tag}")
+    return out
 
 
 # --- aggregation --------------------------------------------------------------
