@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from evigraph.sources.shared import new_path
 
 from ._common import as_table, documents
+from .suffix_dedup import give_back_memory
 
 LEAST = 30
 LONGEST = 4
@@ -104,8 +105,10 @@ def _sharded(shard_words: int):
                     largest = max(sizes, key=sizes.__getitem__)
                     del sizes[largest]
                     yield _shard(largest, *held.pop(largest))
-        for lang, own in held.items():
-            yield _shard(lang, *own)
+                    give_back_memory()
+        for lang in list(held):
+            yield _shard(lang, *held.pop(lang))
+        give_back_memory()
 
     return run
 
@@ -215,6 +218,8 @@ def _pair_counts(words: Bits):
                     first, word, n, _ = shard.counted(first, word, both)
                     h = pair_hash(shard.hashes[first], shard.hashes[word])
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                del shard
+                give_back_memory()
 
     return run
 
@@ -245,6 +250,8 @@ def _phrase_counts(words: Bits, pairs: Bits, longest: int):
                         first, last, n, phrase = shard.counted(old, word, bits)
                         held = np.column_stack([held[first], last])
                         yield rows(shard, held, n)
+                del shard
+                give_back_memory()
 
     return run
 
