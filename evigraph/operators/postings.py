@@ -83,10 +83,10 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, range_docs: int = R
     listed = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("x")
     blocks = each.groupBy("part", "term").agg(F.max("s").alias("best"), listed)
     blocks = blocks.select("term", "part", "best", F.col("x.doc_id").alias("docs"), F.col("x.tf").alias("tfs"), F.col("x.len").alias("lens"))
-    stored = as_table(blocks)
     if asked is None:
         # A file holds a range of terms, so a query's terms are read from few of them.
-        stored = as_table(stored.repartitionByRange("term", "part").sortWithinPartitions("term", "part"))
+        blocks = blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part")
+    stored = as_table(blocks)
     return Postings(stored, as_table(stored.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))), n, mean, k1, b)
 
 
