@@ -10,8 +10,10 @@ and linked records are an entity, which is marked where two of its records were
 compared and speak against each other.
 
 Equal records are folded into one before they are compared, so many copies make
-no pairs. Blocks are joined by key; keys must be fine enough for blocks to stay
-small, which is checked: a block of more than ``most`` different records raises.
+no pairs. Blocks are joined by key, a large one in tiles, and a pair is made in the
+first block that its records share; so pairs are streamed, to be counted and then
+to be weighed, and are neither shuffled nor stored. Their number still grows with
+the square of a block, which ``most`` may limit: a larger block then raises.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ ROUNDS = 20
 START = (0.1, 0.9, 0.1)
 #: Made-up pairs of each level and class, so no rate is zero.
 PSEUDO = 0.5
-#: Most different records of a block.
-MOST_BLOCK = 10_000
+#: Records of a tile of a block, and pairs that a task should compare.
+TILE = 4096
+TASK_PAIRS = 10_000_000
+MOST_TASKS = 4096
 
 
 def _level(field: str, conditions: list[str]) -> Column:
@@ -45,19 +49,36 @@ def _level(field: str, conditions: list[str]) -> Column:
     return out.otherwise(0).alias(f"g_{field}")
 
 
-def candidate_pairs(records: DataFrame, fields: Comparisons, blocks: list[str], most: int = MOST_BLOCK) -> DataFrame:
+def candidate_pairs(records: DataFrame, fields: Comparisons, blocks: list[str], most: int | None = None, within: str | None = None, tile: int = TILE) -> DataFrame:
     """``a, b, g_<field>...``: records that share a block's key, ``a < b``, each pair once.
 
-    ``blocks`` are SQL expressions over a record; a null key blocks nothing.
+    ``blocks`` are SQL expressions over a record; a null key blocks nothing. With
+    ``within`` both must agree in that column, which is then returned too. Pairs
+    are made anew each time they are read; only the records are stored.
     """
-    keyed = [records.select("*", F.lit(i).alias("block_no"), F.expr(key).cast("string").alias("block_key")) for i, key in enumerate(blocks)]
-    keyed = as_table(reduce(DataFrame.unionByName, keyed).where("block_key IS NOT NULL"))
-    largest = keyed.groupBy("block_no", "block_key").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if largest > most:
-        raise ValueError(f"a block has {largest} records; finer keys are needed")
-    both = keyed.alias("l").join(keyed.alias("r"), F.expr("l.block_no = r.block_no AND l.block_key = r.block_key AND l.rec_id < r.rec_id"))
-    levels = [_level(f, c) for f, c in fields.items()]
-    return both.select(F.col("l.rec_id").alias("a"), F.col("r.rec_id").alias("b"), *levels).dropDuplicates(["a", "b"])
+    keys = [f"block_{i}" for i in range(len(blocks))]
+    named = records.select("*", *[F.expr(b).cast("string").alias(k) for k, b in zip(keys, blocks, strict=True)])
+    part = F.lit("") if within is None else F.col(within).cast("string")
+    keyed = named.select("*", part.alias("block_part"), F.posexplode(F.array(*keys)).alias("block_no", "block_key"))
+    keyed = as_table(keyed.where("block_key IS NOT NULL AND block_part IS NOT NULL"))
+    by = ["block_part", "block_no", "block_key"]
+    sizes = keyed.groupBy(*by).agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.max("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("pairs")).first()
+    if most is not None and (whole["n"] or 0) > most:
+        raise ValueError(f"a block has {whole['n']} records; finer keys are needed")
+    large = sizes.where(F.col("n") > tile).select(*by, F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    dealt = keyed.join(as_table(large), by, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rec_id"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    tasks = int(min(max((whole["pairs"] or 0) / 2 / TASK_PAIRS, keyed.sparkSession.sparkContext.defaultParallelism), MOST_TASKS))
+    cell = [*by, "i", "j"]
+    left = dealt.select("*", F.col("tile").alias("i"), other.alias("j")).repartition(tasks, *cell)
+    right = dealt.select("*", other.alias("i"), F.col("tile").alias("j")).repartition(tasks, *cell)
+    together = [f"l.{c} = r.{c}" for c in cell] + ["l.rec_id < r.rec_id"]
+    first = [f"NOT coalesce(l.block_no > {i} AND l.{k} = r.{k}, false)" for i, k in enumerate(keys[:-1])]
+    both = left.alias("l").join(right.alias("r"), F.expr(" AND ".join(together + first)))
+    also = [] if within is None else [F.col(f"l.{within}").alias(within)]
+    return both.select(F.col("l.rec_id").alias("a"), F.col("r.rec_id").alias("b"), *also, *[_level(f, c) for f, c in fields.items()])
 
 
 def estimate(levels: np.ndarray, counts: np.ndarray, sizes: list[int], rounds: int = ROUNDS) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
@@ -83,8 +104,8 @@ def estimate(levels: np.ndarray, counts: np.ndarray, sizes: list[int], rounds: i
     return prior, m, u
 
 
-def weighted(pairs: DataFrame, fields: Comparisons, rounds: int = ROUNDS) -> DataFrame:
-    """``pairs`` with ``weight``: log2 of the odds that they are one, rounded to six places."""
+def weight(pairs: DataFrame, fields: Comparisons, rounds: int = ROUNDS) -> Column:
+    """log2 of the odds that a pair is one, rounded to six places, as estimated from ``pairs``."""
     names, sizes = [f"g_{f}" for f in fields], [len(c) for c in fields.values()]
     patterns = pairs.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()  # a row for each pattern
     levels = np.array([[r[n] for n in names] for r in patterns], np.int64).reshape(-1, len(names))
@@ -95,33 +116,53 @@ def weighted(pairs: DataFrame, fields: Comparisons, rounds: int = ROUNDS) -> Dat
         for level, x in enumerate(np.log2(m[f] / u[f])):
             ratio = F.when(F.col(name) == level, F.lit(float(x))).otherwise(ratio)
         total = total + ratio
-    return pairs.withColumn("weight", F.round(total, 6))
+    return F.round(total, 6)
+
+
+def weighted(pairs: DataFrame, fields: Comparisons, rounds: int = ROUNDS) -> DataFrame:
+    """``pairs`` with ``weight``."""
+    return pairs.withColumn("weight", weight(pairs, fields, rounds))
+
+
+def _linked(records: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """``rec_id, entity`` by links of a weight above ``least``."""
+    links = pairs.where(F.col("weight") > least).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return as_table(components(records.select(F.col("rec_id").alias("node_id")), links).toDF("rec_id", "entity"))
+
+
+def _marked(found: DataFrame, odd: DataFrame) -> DataFrame:
+    odd = odd.select("entity", F.lit(True).alias("conflict")).distinct()
+    return found.join(odd, "entity", "left").select("rec_id", "entity", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
 def entities(records: DataFrame, pairs: DataFrame, least: float = 0.0, against: float = -10.0) -> DataFrame:
     """``rec_id, entity, conflict``: the smallest record that each is linked with,
     by links of a weight above ``least``, and whether two of the entity's
     records were compared with a weight below ``against``."""
-    links = pairs.where(F.col("weight") > least).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = as_table(components(records.select(F.col("rec_id").alias("node_id")), links).toDF("rec_id", "entity"))
+    found = _linked(records, pairs, least)
     of = lambda side: found.select(F.col("rec_id").alias(side), F.col("entity").alias(f"entity_{side}"))
     odd = pairs.where(F.col("weight") < against).join(of("a"), "a").join(of("b"), "b").where("entity_a = entity_b")
-    odd = odd.select(F.col("entity_a").alias("entity"), F.lit(True).alias("conflict")).distinct()
-    return found.join(odd, "entity", "left").select("rec_id", "entity", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    return _marked(found, odd.select(F.col("entity_a").alias("entity")))
 
 
-def link_records(records: DataFrame, fields: Comparisons, blocks: list[str], least: float = 0.0, against: float = -10.0, most: int = MOST_BLOCK) -> DataFrame:
-    """``rec_id, entity, conflict`` of all records (rec_id and the fields).
+def link_records(records: DataFrame, fields: Comparisons, blocks: list[str], least: float = 0.0, against: float = -10.0, most: int | None = None) -> DataFrame:
+    """``rec_id, entity, conflict`` of all records (rec_id and the fields), as ``entities``.
 
     Records that agree in all columns but the id are one for the comparisons, and
     are one entity. Records without a block's key, or with nulls, stay; null ids
-    are left out.
+    are left out. Of the pairs only links are stored; what speaks against an
+    entity is looked for among the pairs within entities.
     """
     own = [c for c in records.columns if c != "rec_id"]
     used = records.where("rec_id IS NOT NULL")
     folded = as_table(used.groupBy(*own).agg(F.min("rec_id").alias("first")).withColumnRenamed("first", "rec_id"))
-    pairs = as_table(weighted(as_table(candidate_pairs(folded, fields, blocks, most)), fields))
-    found = entities(folded, pairs, least, against)
+    pairs = candidate_pairs(folded, fields, blocks, most)
+    odds = weight(pairs, fields)
+    links = as_table(pairs.withColumn("weight", odds).where(F.col("weight") > least).select("a", "b", "weight"))
+    found = _linked(folded, links, least)
+    several = found.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")
+    inside = candidate_pairs(folded.join(found.join(several, "entity"), "rec_id"), fields, blocks, within="entity")
+    marked = _marked(found, inside.withColumn("weight", odds).where(F.col("weight") < against))
     same = reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in own])
     each = used.alias("l").join(folded.alias("r"), same).select(F.col("l.rec_id").alias("rec_id"), F.col("r.rec_id").alias("first"))
-    return each.join(found.withColumnRenamed("rec_id", "first"), "first").select("rec_id", "entity", "conflict")
+    return each.join(marked.withColumnRenamed("rec_id", "first"), "first").select("rec_id", "entity", "conflict")

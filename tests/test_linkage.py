@@ -102,3 +102,15 @@ def test_conflicts_are_marked(spark):
     pairs = spark.createDataFrame([("a", "b", 5.0), ("b", "c", 4.0), ("a", "c", -12.0), ("c", "d", -20.0)], "a string, b string, weight double")
     got = {r.rec_id: (r.entity, r.conflict) for r in ln.entities(records, pairs).collect()}
     assert got == {"a": ("a", True), "b": ("a", True), "c": ("a", True), "d": ("d", False)}
+
+
+def test_large_blocks_are_tiled(spark):
+    """Tiles lose no pair and make none twice, and pairs aren't shuffled or stored."""
+    rows = [(f"r{i:03}", f"name{i % 9}", f"parts{i % 30}", "one" if i % 4 else None, 1900 + i % 5) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = ln.candidate_pairs(df, FIELDS, BLOCKS, tile=7)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and ((a[3] and a[3] == b[3]) or a[2] == b[2])}
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Deduplicate" not in plan
