@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evigraph.operators.retrieval import Best, tiles
 from evigraph.sources.shared import as_table
 
 #: Rows that the centres are fitted on, and queries that are sent to the tasks at once.
@@ -122,15 +123,21 @@ def search(index: Cells, queries: DataFrame, k: int, probes: int) -> DataFrame:
 
 
 def _best_of_cells(ids: np.ndarray, matrix: np.ndarray, asking: dict[int, np.ndarray], k: int):
+    """Each task keeps a query's best of a cell, scored in tiles of a bounded size."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, Best] = {}
         for b in batches:
             for cell, own in b.groupby("cell"):
                 who = asking[int(cell)]
-                vec = own["vec_id"].to_numpy()
-                score = np.round(matrix[who] @ _unit(_matrix(own["embedding"])).T, 6)
-                score[ids[who][:, None] == vec[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-                found = pd.DataFrame({"query_id": np.repeat(ids[who], order.shape[1]), "vec_id": vec[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-                yield found[np.isfinite(found["score"])]
+                kept = best.setdefault(int(cell), Best(len(who), k))
+                for tile in tiles(len(who), len(own)):
+                    part = own.iloc[tile]
+                    vec = part["vec_id"].to_numpy()
+                    score = np.round(matrix[who] @ _unit(_matrix(part["embedding"])).T, 6)
+                    score[(ids[who][:, None] == vec[None, :]) | ~np.isfinite(score)] = -np.inf
+                    kept.add(score, vec)
+        for cell, kept in best.items():
+            yield kept.found(ids[asking[cell]])
 
     return run

@@ -16,6 +16,8 @@ from evigraph.sources.shared import as_table
 
 #: Most queries that one batch search sends to every executor.
 MAX_QUERIES = 4096
+#: Cells of a matrix of scores (4 MB), whatever the queries and rows of a batch.
+TILE_SCORES = 1 << 19
 #: Most terms of all queries that are broadcast.
 MAX_TERMS = 200_000
 
@@ -28,8 +30,8 @@ def _ranked(scores: DataFrame, k: int, ident: str) -> DataFrame:
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
     """``query_id, vec_id, score``: cosine by matrix products, rounded to six places.
 
-    Each batch of vectors keeps a query's best ``k``, or those of ``least`` or
-    more. ``queries`` (query_id, q) is a stated set; a query's own row is left
+    Each task keeps a query's best ``k``, or those of ``least`` or more, and
+    scores a batch in tiles of a bounded size. ``queries`` (query_id, q) is a stated set; a query's own row is left
     out, and of queries that repeat an id one is taken. Up to ``MAX_QUERIES`` go
     to every executor at once; more are dealt into blocks of about half that
     size, one after the other. Vectors without a length have no score.
@@ -47,6 +49,40 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int | None = None,
     return out
 
 
+def tiles(n_queries: int, n_rows: int) -> Iterator[slice]:
+    """Rows of a batch, so many at a time that a score matrix has about ``TILE_SCORES`` cells."""
+    step = max(1, TILE_SCORES // max(n_queries, 1))
+    for begin in range(0, n_rows, step):
+        yield slice(begin, min(begin + step, n_rows))
+
+
+class Best:
+    """The best ``k`` of each query so far, by score and then the smaller id."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.score = np.zeros((n_queries, 0))
+        self.vec = np.zeros((n_queries, 0), np.int64)
+
+    def add(self, score: np.ndarray, vec: np.ndarray) -> None:
+        """Scores of all queries with the rows ``vec``; those that don't count are -inf."""
+        score = np.hstack([self.score, score])
+        vec = np.hstack([self.vec, np.broadcast_to(vec, (len(score), len(vec)))])
+        if score.shape[1] > self.k:
+            # All that reach the k-th score, so that ties go by the id.
+            kth = np.partition(score, score.shape[1] - self.k, axis=1)[:, -self.k]
+            wide = max(self.k, int((score >= kth[:, None]).sum(axis=1).max()))
+            if wide < score.shape[1]:
+                at = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+                score, vec = np.take_along_axis(score, at, 1), np.take_along_axis(vec, at, 1)
+        order = np.lexsort((vec, -score), axis=1)[:, : self.k]
+        self.score, self.vec = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+
+    def found(self, ids: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": np.repeat(ids, self.vec.shape[1]), "vec_id": self.vec.ravel(), "score": self.score.ravel()})
+        return out[np.isfinite(out["score"])]
+
+
 def _search_block(rows: list, k: int | None, least: float | None):
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["q"] for r in rows], np.float64)
@@ -54,24 +90,25 @@ def _search_block(rows: list, k: int | None, least: float | None):
         matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None if k is None else Best(len(ids), k)
         for b in batches:
             b = b.dropna()
-            if not len(b):
-                continue
-            x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                score = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-            vec = b["vec_id"].to_numpy().astype(np.int64)
-            score[(ids[:, None] == vec[None, :]) | ~np.isfinite(score)] = -np.inf
-            if least is not None:
-                score[score < least] = -np.inf
-            if k is None:
-                q, at = np.nonzero(np.isfinite(score))
-            else:
-                order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-                q, at = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-            out = pd.DataFrame({"query_id": ids[q], "vec_id": vec[at], "score": score[q, at]})
-            yield out[np.isfinite(out["score"])]
+            for tile in tiles(len(ids), len(b)):
+                part = b.iloc[tile]
+                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+                vec = part["vec_id"].to_numpy().astype(np.int64)
+                score[(ids[:, None] == vec[None, :]) | ~np.isfinite(score)] = -np.inf
+                if least is not None:
+                    score[score < least] = -np.inf
+                if best is not None:
+                    best.add(score, vec)
+                else:
+                    q, at = np.nonzero(np.isfinite(score))
+                    yield pd.DataFrame({"query_id": ids[q], "vec_id": vec[at], "score": score[q, at]})
+        if best is not None:
+            yield best.found(ids)
 
     return run
 
@@ -87,16 +124,57 @@ def vector_range(queries: DataFrame, vectors: DataFrame, least: float) -> DataFr
 
 
 def vector_ann(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, width: float = 1.0) -> DataFrame:
-    """Approximate top-k by random projections; on the given tables at least 0.9 of the exact ones (tested)."""
+    """Approximate top-k by random projections; on the given tables at least 0.9 of the exact ones (tested).
+
+    Rows that share a bucket with a query in one of the tables are scored. Queries
+    with their buckets are sent to the tasks in blocks of ``MAX_QUERIES``, and a
+    task keeps each query's best ``k``: candidates, which are most pairs where
+    buckets are wide, are neither shuffled nor stored.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", numHashTables=tables, bucketLength=width, seed=7)
-    base = vectors.select("vec_id", array_to_vector("embedding").alias("f"))
-    asked = queries.select("query_id", array_to_vector(F.col("q")).alias("f"))
-    near = lsh.fit(base).approxSimilarityJoin(asked, base, 2.0, "distance")
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score")).where("query_id <> vec_id")
-    return _ranked(scored, k, "vec_id").select("query_id", "rank", "vec_id", "score")
+    base = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding", array_to_vector("embedding").alias("f"))
+    model = lsh.fit(base)
+    buckets = F.array(*[F.get(vector_to_array(F.get("h", F.lit(i))), F.lit(0)).cast("long") for i in range(tables)]).alias("h")
+    hashed = model.transform(base).select("vec_id", "embedding", buckets)
+    asked = queries.where("query_id IS NOT NULL AND q IS NOT NULL").select("query_id", "q", array_to_vector("q").alias("f"))
+    asked = model.transform(asked).select("query_id", "q", buckets)
+    asked = as_table(asked.dropDuplicates(["query_id"]))
+    blocks = -(-asked.count() // MAX_QUERIES)
+    schema = "query_id long, vec_id long, score double"
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+        if rows:
+            out = out.unionByName(hashed.mapInPandas(_search_buckets(rows, k), schema))
+    return _ranked(out, k, "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
+def _search_buckets(rows: list, k: int):
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    matrix, own = np.array([r["q"] for r in rows], np.float64), np.array([r["h"] for r in rows], np.int64)
+    squares = (matrix**2).sum(axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(len(ids), k)
+        for b in batches:
+            for tile in tiles(len(ids), len(b)):
+                part = b.iloc[tile]
+                x, h = np.stack(part["embedding"].to_numpy()).astype(np.float64), np.stack(part["h"].to_numpy())
+                near = np.zeros((len(ids), len(x)), bool)
+                for table in range(own.shape[1]):
+                    near |= own[:, table, None] == h[None, :, table]
+                # One less half of the squared distance, the cosine of unit vectors.
+                score = np.round(1 - (squares[:, None] + (x**2).sum(axis=1)[None, :] - 2 * (matrix @ x.T)) / 2, 6)
+                vec = part["vec_id"].to_numpy().astype(np.int64)
+                # Within a distance of two, as the join had it.
+                score[~near | (ids[:, None] == vec[None, :]) | ~(score > -1)] = -np.inf
+                best.add(score, vec)
+        yield best.found(ids)
+
+    return run
 
 
 def require_vectors(vectors: DataFrame | None, where: str = "") -> DataFrame:
