@@ -319,7 +319,22 @@ _RANGE = "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RA
 
 @query("w11_range_frame", _RANGE)
 def w11(t: Tables) -> DataFrame:
-    return t.view("events").sql(_RANGE)
+    """A running count of each hour, and what is left of the hour before.
+
+    A frame over whole types would be a task for each and would count its rows
+    again for each row. Rows of one time have one count, so times are counted
+    once; a probe an hour before each tells what of that hour is still inside.
+    """
+    hour = lambda ts: F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
+    times = t.events.groupBy("event_type", "ts").agg(F.count("*").alias("c"))
+    marks = times.select("event_type", "ts", F.col("ts").alias("at"), F.lit(1).alias("kind"), "c")
+    before = times.where("ts IS NOT NULL").select("event_type", "ts", F.expr("ts - INTERVAL 1 HOUR").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("c"))
+    both = marks.unionByName(before).withColumn("hour", hour(F.col("at")))
+    within = Window.partitionBy("event_type", "hour")
+    so_far = F.sum("c").over(within.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.select("event_type", "ts", F.when(F.col("kind") == 1, so_far).otherwise(F.sum("c").over(within) - so_far).alias("n"))
+    counts = both.groupBy(F.col("event_type").alias("k"), F.col("ts").alias("at")).agg(F.sum("n").alias("n"))
+    return t.events.join(counts, F.col("event_type").eqNullSafe(F.col("k")) & F.col("ts").eqNullSafe(F.col("at"))).select("event_id", "n")
 
 
 # --- sort, limit, sets, subqueries --------------------------------------------
