@@ -18,3 +18,15 @@ def broadcast_if_small(df: DataFrame, most: int = MAX_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is small, and as it is if not: Spark
     then chooses a shuffle or, without an equality, a blocked product."""
     return F.broadcast(df) if fits(df, most) else df
+
+
+#: Rows of a partition that is grouped or sorted in memory.
+PART_ROWS = 400_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = PART_ROWS) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as ``rows`` asks for, so that what a
+    task groups or sorts is bounded: partitions of a given number aren't merged by
+    their compressed size, which says little of repeated keys."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-rows // each)), *keys)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.operators.bounds import dealt
 from evigraph.sources.shared import as_table
 from evigraph.sources.tables import Graph, Tables
 
@@ -17,19 +20,24 @@ def _id(prefix: str, key: str) -> Column:
 
 
 def build_graph(t: Tables) -> Graph:
-    """The star schema as a typed graph; edges carry a time where the rows do."""
+    """The star schema as a typed graph; edges carry a time where the rows do.
+
+    Distinct edges are found in partitions of a bounded number of rows.
+    """
     nodes = [
         t.region.select(_id("r", "r_regionkey"), F.lit("region"), "r_name"), t.nation.select(_id("n", "n_nationkey"), F.lit("nation"), "n_name"),
         t.customer.select(_id("c", "c_custkey"), F.lit("customer"), "c_name"), t.supplier.select(_id("s", "s_suppkey"), F.lit("supplier"), "s_name"),
         t.part.select(_id("p", "p_partkey"), F.lit("part"), "p_name"), t.orders.select(_id("o", "o_orderkey"), F.lit("order"), F.col("o_orderkey").cast("string")),
     ]
     none = F.lit(None).cast("date")
+    rows = t.lineitem.count()
     order_time = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("day"))
-    in_order = t.lineitem.select("l_orderkey", "l_partkey").distinct().join(order_time, "l_orderkey")
+    in_order = dealt(t.lineitem.select("l_orderkey", "l_partkey"), rows, "l_orderkey").distinct().join(order_time, "l_orderkey")
+    supplied = dealt(t.lineitem.select("l_partkey", "l_suppkey"), rows, "l_partkey", "l_suppkey").distinct()
     edges = [
         t.nation.select(_id("n", "n_nationkey"), _id("r", "n_regionkey"), F.lit(RELATIONS[0]), none), t.customer.select(_id("c", "c_custkey"), _id("n", "c_nationkey"), F.lit(RELATIONS[1]), none),
         t.supplier.select(_id("s", "s_suppkey"), _id("n", "s_nationkey"), F.lit(RELATIONS[2]), none), t.orders.select(_id("o", "o_orderkey"), _id("c", "o_custkey"), F.lit(RELATIONS[3]), F.to_date("o_orderdate")),
-        in_order.select(_id("o", "l_orderkey"), _id("p", "l_partkey"), F.lit(RELATIONS[4]), "day"), t.lineitem.select("l_partkey", "l_suppkey").distinct().select(_id("p", "l_partkey"), _id("s", "l_suppkey"), F.lit(RELATIONS[5]), none),
+        in_order.select(_id("o", "l_orderkey"), _id("p", "l_partkey"), F.lit(RELATIONS[4]), "day"), supplied.select(_id("p", "l_partkey"), _id("s", "l_suppkey"), F.lit(RELATIONS[5]), none),
     ]
     union = lambda parts, names: parts[0].toDF(*names) if len(parts) == 1 else parts[0].toDF(*names).unionByName(union(parts[1:], names))
     return Graph(union(nodes, ["node_id", "node_type", "name"]), union(edges, ["src", "dst", "rel", "valid_time"]))
@@ -156,14 +164,19 @@ def common_neighbors(g: Graph, ids: list[str], direction: str = "both") -> DataF
 
 
 def paths(g: Graph, start: str, goal: str, max_hops: int, direction: str = "both") -> DataFrame:
-    """``path, hops``: simple paths from start to goal."""
-    walked = _directed(g.edges, direction).select("at", "to").distinct()
-    front = lookup(g, start).select(F.col("node_id").alias("end"), F.array("node_id").alias("path"))
+    """``path, hops``: simple paths from start to goal.
+
+    Repeated edges are dropped where they were walked, so each hop reads the
+    edges once and groups its paths only, which are a table.
+    """
+    walked = _directed(g.edges, direction).select("at", "to")
+    front = as_table(lookup(g, start).select(F.col("node_id").alias("end"), F.array("node_id").alias("path")))
     found = []
     for hop in range(1, max_hops + 1):
-        front = front.join(walked, F.col("end") == F.col("at")).where(~F.array_contains("path", F.col("to"))).select(F.col("to").alias("end"), F.array_append("path", F.col("to")).alias("path"))
-        found.append(front.where(F.col("end") == goal).select(F.array_join("path", ">").alias("path"), F.lit(hop).alias("hops")))
-        front = front.where(F.col("end") != goal)
+        near = front.join(walked, F.col("end") == F.col("at")).where(~F.array_contains("path", F.col("to"))).select(F.col("to").alias("end"), F.array_append("path", F.col("to")).alias("path"))
+        near = as_table(near.distinct())
+        found.append(near.where(F.col("end") == goal).select(F.array_join("path", ">").alias("path"), F.lit(hop).alias("hops")))
+        front = near.where(F.col("end") != goal)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -184,21 +197,19 @@ def edge_evidence(edges: DataFrame, chunks: DataFrame) -> DataFrame:
 def validate_graph(g: Graph) -> DataFrame:
     """``check_name, violations``: ends that are missing, kinds that are unknown, repeats.
 
-    Nodes are grouped once and edges once; every check is a conditional sum.
+    Edges are counted by each end before they meet the nodes, so no edge is sorted
+    for a join and a hub is one row.
     """
     nodes = g.nodes.groupBy("node_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("node_type").isin(*NODE_TYPES), F.lit(False))).alias("odd"))
     of_nodes = nodes.agg(F.sum("odd").alias("unknown_type"), F.count_if(F.col("n") > 1).alias("repeated_node"))
-    edges = g.edges.groupBy("src", "dst", "rel").agg(F.count("*").alias("n"))
-    edges = edges.join(nodes.select(F.col("node_id").alias("src"), F.lit(True).alias("has_src")), "src", "left")
-    edges = edges.join(nodes.select(F.col("node_id").alias("dst"), F.lit(True).alias("has_dst")), "dst", "left")
-    total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
-    of_edges = edges.agg(
-        total(F.col("has_src").isNull()).alias("missing_src"), total(F.col("has_dst").isNull()).alias("missing_dst"),
-        total(~F.coalesce(F.col("rel").isin(*RELATIONS), F.lit(False))).alias("unknown_relation"),
-        F.count_if(F.col("n") > 1).alias("repeated_edge"), total(F.col("src") == F.col("dst")).alias("self_loop"),
+    known = g.nodes.select("node_id")
+    missing = lambda end: g.edges.groupBy(F.col(end).alias("node_id")).agg(F.count("*").alias("n")).join(known, "node_id", "left_anti").agg(F.sum("n").alias(f"missing_{end}"))
+    kinds = g.edges.agg(
+        F.count_if(~F.coalesce(F.col("rel").isin(*RELATIONS), F.lit(False))).alias("unknown_relation"), F.count_if(F.col("src") == F.col("dst")).alias("self_loop")
     )
+    repeated = dealt(g.edges, g.edges.count(), "src", "dst", "rel").groupBy("src", "dst", "rel").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_edge"))
     long = lambda df: df.unpivot([], df.columns, "check_name", "violations").select("check_name", F.coalesce("violations", F.lit(0)).alias("violations"))
-    return long(of_nodes).unionByName(long(of_edges))
+    return reduce(DataFrame.unionByName, map(long, (of_nodes, missing("src"), missing("dst"), kinds, repeated)))
 
 
 def degree(g: Graph) -> DataFrame:
