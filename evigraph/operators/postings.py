@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import tokens
-from evigraph.operators.bounds import broadcast_if_small
+from evigraph.operators.bounds import broadcast_if_small, dealt
 from evigraph.sources.shared import as_table
 
+#: Documents whose terms a task groups.
+TASK_DOCS = 2048
 #: Documents of a range (a block is a term's postings in one range), and ranges of a group.
 RANGE_DOCS = 64
 GROUP_RANGES = 128
@@ -77,8 +79,9 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, range_docs: int = R
     if asked is not None:
         wanted = asked.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
         each = each.join(broadcast_if_small(wanted, MAX_TERMS), "term", "left_semi")
-    # Dealt by range once, documents and terms are grouped where they are.
-    each = each.repartition("part").groupBy("part", "doc_id", "term").agg(F.max("len").alias("len"), F.count("*").alias("tf"))
+    # Dealt by range once, documents and terms are grouped where they are; a task has
+    # so many documents, whatever the corpus.
+    each = dealt(each, n, "part", each=TASK_DOCS).groupBy("part", "doc_id", "term").agg(F.max("len").alias("len"), F.count("*").alias("tf"))
     each = each.withColumn("s", _saturation(F.col("tf"), F.col("len"), mean, k1, b))
     listed = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("x")
     blocks = each.groupBy("part", "term").agg(F.max("s").alias("best"), listed)
@@ -176,8 +179,9 @@ def search(index: Postings, queries: DataFrame, k: int, first: int = FIRST_RANGE
             asked.setdefault(r["query_id"], {})[r["term"]] = r["idf"]
         if asked:
             matched = index.blocks.join(F.broadcast(own.select("term").distinct()), "term")
-            group = F.floor(F.col("part") / group_ranges)
-            out = out.unionByName(matched.groupBy(group).applyInArrow(_searched(index, asked, k, first), schema))
+            matched = matched.withColumn("group", F.floor(F.col("part") / group_ranges))
+            groups = -(-index.n_docs // (RANGE_DOCS * group_ranges))
+            out = out.unionByName(dealt(matched, groups, "group", each=1).groupBy("group").applyInArrow(_searched(index, asked, k, first), schema))
     found = as_table(out)
     if read is not None:
         read["all"], read["scored"] = (int(x or 0) for x in (terms.agg(F.sum("df")).first()[0], found.agg(F.sum("scored")).first()[0]))
