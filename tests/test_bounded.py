@@ -58,3 +58,14 @@ def test_graph_is_built_in_bounded_partitions(spark, data):
 
     plan = gr.build_graph(Tables(spark, data)).edges._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_bm25_keeps_every_document(spark, tmp_path):
+    """More documents than ten share the question's word; all of them are scored."""
+    docs = [(i, "common word" + " filler" * i) for i in range(14)] + [(90, "nothing"), (91, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "A common one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = runner(PLANS["f07_bm25"])(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(5, i) for i in range(14)]
+    scores = [r.score for r in sorted(got, key=lambda r: r.doc_id)]
+    assert scores == sorted(scores, reverse=True)
