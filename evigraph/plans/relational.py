@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from evigraph.operators.bounds import dealt
 from evigraph.sources.shared import new_path
 from evigraph.sources.tables import Tables
 
@@ -333,8 +334,10 @@ def w11(t: Tables) -> DataFrame:
     within = Window.partitionBy("event_type", "hour")
     so_far = F.sum("c").over(within.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     both = both.select("event_type", "ts", F.when(F.col("kind") == 1, so_far).otherwise(F.sum("c").over(within) - so_far).alias("n"))
-    counts = both.groupBy(F.col("event_type").alias("k"), F.col("ts").alias("at")).agg(F.sum("n").alias("n"))
-    return t.events.join(counts, F.col("event_type").eqNullSafe(F.col("k")) & F.col("ts").eqNullSafe(F.col("at"))).select("event_id", "n")
+    rows = t.events.select("event_type", "ts", "event_id", F.lit(None).cast("long").alias("n"), F.lit(True).alias("own"))
+    rows = rows.unionByName(both.select("event_type", "ts", F.lit(None).cast(t.events.schema["event_id"].dataType).alias("event_id"), "n", F.lit(False).alias("own")))
+    rows = dealt(rows, 3 * t.events.count(), "event_type", "ts")
+    return rows.withColumn("n", F.sum("n").over(Window.partitionBy("event_type", "ts"))).where("own").select("event_id", "n")
 
 
 # --- sort, limit, sets, subqueries --------------------------------------------
