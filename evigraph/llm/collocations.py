@@ -12,8 +12,10 @@ extended depth first, a bounded group of first words at a time, so what a task
 holds doesn't grow with the phrases. Bits are summed over the shards.
 
 No phrase is more frequent than its parts. The frequent words, and then the frequent
-pairs, are therefore found first, by 64-bit hashes whose counts are summed over all
-shards, and are sent to the tasks as bit arrays of a bounded size. Both a shared
+pairs, are therefore found first, by hashes whose counts are summed over all
+shards, and are sent to the tasks as bit arrays of a bounded size. A task sums the
+counts of several shards and ships them packed, cut by ranges of the hashes: sorted
+hashes as differences, phrases that begin alike compressed together. Both a shared
 hash and a shared bit only let more phrases through: what is kept in the end is
 counted by its words, exactly, however full the bit arrays are.
 """
@@ -24,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.sources.shared import new_path
 
-from ._common import as_table, documents
+from ._common import as_table, documents, pieces
 from .suffix_dedup import give_back_memory
 
 LEAST = 30
@@ -46,10 +49,14 @@ SHARD_WORDS = 1 << 18
 GROUP_BLOCKS = 1 << 15
 #: Row groups of the shards' table: their size is looked at after each row, since
 #: rows are large and tasks are dealt whole groups.
-ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+ROW_GROUPS = {"compression": "zstd", "parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Bits of a bit array: 16 for each entry, within these powers of two (64 MB at most).
 LEAST_BITS, MOST_BITS = 20, 29
-#: Tasks that rows of one part of a phrase are dealt over.
+#: Counts that a task sums before it packs them, and words of the corpus whose counts a piece gets.
+MERGED_ROWS, PIECE_WORDS = 1 << 20, 1 << 21
+#: Bits of the hashes that are counted: 16 values for each word of the corpus, within these.
+LEAST_SPACE, MOST_SPACE = 32, 60
+#: Tasks that rows of a single word that is part of phrases are dealt over.
 SALTS = 8
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -132,11 +139,69 @@ class Bits:
         return (self.data[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _frequent(counts: DataFrame, least: int, most_bits: int) -> Bits:
-    """The hashes (``h, n``) whose ``n`` sum to ``least`` or more."""
-    found = as_table(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"))
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, compressed: planes of small numbers are zeros."""
+    return pa.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _whole(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T.copy().view("<u8").ravel()
+
+
+def _sums(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, with its sum."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    begin = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(order) else order
+    return hashes[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+
+
+def _packed(rows: Iterator[tuple[np.ndarray, np.ndarray]], power: int, n_pieces: int) -> Iterator[pa.RecordBatch]:
+    """Counts by hash (``piece, n, keys, counts``): so many at a time are summed and
+    cut by ranges of the hashes' first bits. Sorted hashes are kept as differences."""
+    bounds = np.array([(i << power) // n_pieces for i in range(1, n_pieces)], np.uint64)
+
+    def flushed() -> pa.RecordBatch:
+        h, n = _sums(np.concatenate([x for x, _ in held]) >> np.uint64(64 - power), np.concatenate([x for _, x in held]))
+        ends = np.r_[0, np.searchsorted(h, bounds), len(h)]
+        own = [(i, slice(int(x), int(y))) for i, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if x < y]
+        columns = [[i for i, _ in own], [x.stop - x.start for _, x in own], [_planes(np.diff(h[x], prepend=np.uint64(0))) for _, x in own], [_planes(n[x]) for _, x in own]]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["piece", "n", "keys", "counts"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for hashes, counts in rows:
+        held.append((hashes, counts))
+        if sum(len(x) for x, _ in held) >= MERGED_ROWS:
+            yield flushed()
+            held.clear()
+            give_back_memory()
+    if held:
+        yield flushed()
+
+
+_PACKED = "piece int, n int, keys binary, counts binary"
+
+
+def _often(least: int):
+    """The hashes of a piece that are counted ``least`` times or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table[c].to_pylist() for c in ("n", "keys", "counts")]
+        hashes = np.concatenate([np.cumsum(_whole(keys, n)) for n, keys, _ in zip(*columns, strict=True)])
+        counts = np.concatenate([_whole(data, n) for n, _, data in zip(*columns, strict=True)])
+        hashes, counts = _sums(hashes, counts)
+        out = pa.table({"h": pa.array(hashes[counts >= least].astype(np.int64))})
+        give_back_memory()
+        return out
+
+    return run
+
+
+def _frequent(packed: DataFrame, least: int, space: int, most_bits: int) -> Bits:
+    """The hashes of ``space`` bits whose counts sum to ``least`` or more."""
+    found = as_table(packed.groupBy("piece").applyInArrow(_often(least), "h long"))
     power = int(np.clip(np.ceil(np.log2(16 * found.count() + 1)), LEAST_BITS, most_bits))
-    slot = F.shiftrightunsigned("h", 64 - power)
+    slot = F.shiftrightunsigned("h", space - power)
     parts = found.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
     data = np.zeros((1 << max(power - 15, 0), 4096), np.uint8)
     for row in parts.toLocalIterator():  # 64 MB at most, whatever the corpus
@@ -199,59 +264,131 @@ class Shard:
         return longer // self.size, longer % self.size, n, inverse
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for hashes, counts in zip(batch["hashes"], batch["counts"], strict=True):
-            columns = [pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (hashes, counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "n"])
+def _word_counts(space: int, n_pieces: int):
+    """Occurrences of the words, by their hashes."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for hashes, counts in zip(batch["hashes"], batch["counts"], strict=True):
+                yield np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)
+
+    return lambda batches: _packed(counted(batches), space, n_pieces)
 
 
-def _pair_counts(words: Bits):
+def _pair_counts(words: Bits, space: int, n_pieces: int):
     """Occurrences of the pairs of frequent words, by the pairs' hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(batch, row, words)
                 for root, block, bits in shard.groups():
                     first, word, _, both = shard.extended(root, block, bits)
                     first, word, n, _ = shard.counted(first, word, both)
-                    h = pair_hash(shard.hashes[first], shard.hashes[word])
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                    yield pair_hash(shard.hashes[first], shard.hashes[word]), n
                 del shard
                 give_back_memory()
 
-    return run
+    return lambda batches: _packed(counted(batches), space, n_pieces)
 
 
-def _phrase_counts(words: Bits, pairs: Bits, longest: int):
-    """Occurrences of the phrases of which all words and pairs may be frequent."""
+_PHRASES = "lang string, piece int, n int, texts binary, lengths binary, counts binary"
+
 
-    def rows(shard: Shard, phrases: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        names = [b" ".join([shard.names[w] for w in p]) for p in phrases.tolist()]
-        size = pa.array(np.full(len(n), phrases.shape[1], np.int32))
-        lang = pa.array([shard.lang] * len(n), pa.string())
-        return pa.RecordBatch.from_arrays([lang, pa.array(names, pa.binary()).cast(pa.string()), size, pa.array(n)], ["lang", "phrase", "size", "n"])
+class Phrases:
+    """Phrases of one language with their occurrences, until they are summed and packed.
+
+    They are put in the order of the hashes of their first two words and of all
+    words: equal ones meet, and ones that begin alike are compressed together.
+    Only equal words are summed; phrases that share a hash stay apart.
+    """
+
+    def __init__(self, lang: str):
+        self.lang, self.rows, self.size = lang, [], 0
+
+    def add(self, shard: Shard, names: pa.Array, phrases: np.ndarray, n: np.ndarray) -> None:
+        whole = shard.hashes[phrases[:, 0]]
+        begin = whole
+        for i in range(1, phrases.shape[1]):
+            whole = pair_hash(whole, shard.hashes[phrases[:, i]])
+            begin = whole if i == 1 else begin
+        words = [names.take(pa.array(phrases[:, i])) for i in range(phrases.shape[1])]
+        text = pc.binary_join_element_wise(*words, b" ") if len(words) > 1 else words[0]
+        self.rows.append((begin, whole, text, n))
+        self.size += len(n) + text.nbytes // 64
+
+    def packed(self, n_pieces: int) -> pa.RecordBatch:
+        begin, whole, n = (np.concatenate([r[i] for r in self.rows]) for i in (0, 1, 3))
+        order = np.lexsort((whole, begin))
+        text = pa.concat_arrays([r[2] for r in self.rows]).take(pa.array(order))
+        begin, whole = begin[order], whole[order]
+        other = (whole[1:] != whole[:-1]) | (begin[1:] != begin[:-1]) | pc.not_equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.r_[True, other])
+        n, text = np.add.reduceat(n[order], first), text.take(pa.array(first))
+        piece = ((begin[first] >> np.uint64(32)) * np.uint64(n_pieces) >> np.uint64(32)).astype(np.int64)
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+        data = text.buffers()[2]
+        columns: list[list] = [[] for _ in range(6)]
+        ends = np.r_[np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]), len(piece)]
+        for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            texts = pa.compress(data[int(offsets[x]) : int(offsets[y])], "zstd", asbytes=True)
+            for c, value in zip(columns, (self.lang, int(piece[x]), y - x, texts, _planes(np.diff(offsets[x : y + 1])), _planes(n[x:y])), strict=True):
+                c.append(value)
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["lang", "piece", "n", "texts", "lengths", "counts"])
+
+
+def _phrase_counts(words: Bits, pairs: Bits, longest: int, n_pieces: int):
+    """Occurrences of the phrases of which all words and pairs may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Phrases] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(batch, row, words)
+                names = pa.array(shard.names, pa.binary())
+                own = held.setdefault(shard.lang, Phrases(shard.lang))
                 present = np.unique(shard.word)
-                yield rows(shard, present[:, None], shard.counts[present])
+                if len(present):
+                    own.add(shard, names, present[:, None], shard.counts[present])
                 for phrase, block, bits in shard.groups():
-                    held = np.arange(shard.size)[:, None]  # the words of each phrase number
+                    kept = np.arange(shard.size)[:, None]  # the words of each phrase number
                     for _ in range(longest - 1):
                         old, word, block, bits = shard.extended(phrase, block, bits)
-                        likely = pairs.has(pair_hash(shard.hashes[held[old, -1]], shard.hashes[word]))
+                        likely = pairs.has(pair_hash(shard.hashes[kept[old, -1]], shard.hashes[word]))
                         old, word, block, bits = old[likely], word[likely], block[likely], bits[likely]
                         if not len(old):
                             break
                         first, last, n, phrase = shard.counted(old, word, bits)
-                        held = np.column_stack([held[first], last])
-                        yield rows(shard, held, n)
+                        kept = np.column_stack([kept[first], last])
+                        own.add(shard, names, kept, n)
+                    if sum(x.size for x in held.values()) >= MERGED_ROWS:
+                        largest = max(held.values(), key=lambda x: x.size)
+                        yield held.pop(largest.lang).packed(n_pieces)
+                        own = held.setdefault(shard.lang, Phrases(shard.lang))
+                        give_back_memory()
                 del shard
                 give_back_memory()
+        yield from (x.packed(n_pieces) for x in held.values() if x.rows)
+
+    return run
+
+
+def _frequent_phrases(least: int):
+    """The phrases of one piece and language that occur ``least`` times or more, by their words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts, counts = [], []
+        for n, data, lengths, own in zip(*(table[c].to_pylist() for c in ("n", "texts", "lengths", "counts")), strict=True):
+            offsets = np.r_[0, np.cumsum(_whole(lengths, n).astype(np.int64))].astype(np.int32)
+            texts.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.decompress(data, int(offsets[-1]), "zstd")]))
+            counts.append(_whole(own, n).astype(np.int64))
+        summed = pa.table({"phrase": pa.chunked_array(texts), "n": np.concatenate(counts)}).group_by("phrase").aggregate([("n", "sum")])
+        summed = summed.filter(pc.greater_equal(summed["n_sum"], least))
+        size = pc.add(pc.count_substring(summed["phrase"], b" "), 1).cast(pa.int32())
+        lang = pa.array([table["lang"][0].as_py()] * len(summed), pa.string())
+        give_back_memory()
+        return pa.table({"lang": lang, "phrase": summed["phrase"].cast(pa.string()), "size": size, "a": summed["n_sum"]})
 
     return run
 
@@ -264,11 +401,15 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str, lang
     path = new_path(docs.sparkSession)
     texts.mapInArrow(_sharded(shard_words), _SHARD).write.options(**ROW_GROUPS).parquet(path)
     shards = docs.sparkSession.read.schema(_SHARD).parquet(path)
-    words = _frequent(shards.select("hashes", "counts").mapInArrow(_word_counts, "h long, n long"), least, most_bits)
-    pairs = _frequent(shards.mapInArrow(_pair_counts(words), "h long, n long"), least, most_bits)
-    counts = shards.mapInArrow(_phrase_counts(words, pairs, longest), "lang string, phrase string, size int, n long")
-    counts = counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return as_table(counts), as_table(shards.groupBy("lang").agg(F.sum("n").alias("total")))
+    totals = as_table(shards.groupBy("lang").agg(F.sum("n").alias("total")))
+    n_words = int(totals.agg(F.sum("total").alias("n")).first()["n"] or 0)
+    # A sixteenth of the hashes' values are taken at most, so few rare pairs share one.
+    space, n_pieces = int(np.clip(np.ceil(np.log2(16 * n_words + 1)), LEAST_SPACE, MOST_SPACE)), pieces(n_words, PIECE_WORDS)
+    words = _frequent(shards.select("hashes", "counts").mapInArrow(_word_counts(space, n_pieces), _PACKED), least, space, most_bits)
+    pairs = _frequent(shards.mapInArrow(_pair_counts(words, space, n_pieces), _PACKED), least, space, most_bits)
+    counts = shards.mapInArrow(_phrase_counts(words, pairs, longest, n_pieces), _PHRASES)
+    counts = counts.groupBy("lang", "piece").applyInArrow(_frequent_phrases(least), "lang string, phrase string, size int, a long")
+    return as_table(counts), totals
 
 
 def _wide(x: Column) -> Column:
@@ -299,12 +440,15 @@ def collocations(
     """
     counts, totals = phrase_counts(docs, least, longest, text_col, lang_col, shard_words, most_bits)
     phrases = counts.where("size > 1")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    # Only single words are parts of very many phrases.
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("size") == 1, SALTS - 1).otherwise(0)))
     part = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("a").alias(n), salts.alias("salt"))
     k = F.col("k")
     cuts = phrases.select("lang", "phrase", "size", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.withColumns({"first": _part("phrase", F.lit(0), k), "rest": _part("phrase", k, F.col("size") - k), "salt": F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")})
-    cuts = cuts.join(part("first", "l"), ["lang", "first", "salt"]).join(part("rest", "r"), ["lang", "rest", "salt"])
+    salt = lambda words: F.when(words == 1, F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).otherwise(0)
+    cuts = cuts.withColumns({"first": _part("phrase", F.lit(0), k), "rest": _part("phrase", k, F.col("size") - k)})
+    cuts = cuts.withColumn("salt", salt(k)).join(part("first", "l"), ["lang", "first", "salt"])
+    cuts = cuts.withColumn("salt", salt(F.col("size") - k)).join(part("rest", "r"), ["lang", "rest", "salt"])
     score = F.expr(f"(cast({SCALE} AS decimal(8,0)) * cast(a AS decimal(19,0))) div cast(l + r AS decimal(20,0))")
     lowest = F.min(F.struct(score.alias("score"), k.alias("k"), F.col("l"), F.col("r"))).alias("cut")
     scored = cuts.groupBy("lang", "phrase", "a").agg(lowest).select("lang", "phrase", "a", "cut.score", "cut.l", "cut.r")

@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from cases import awkward, empty
@@ -85,3 +87,29 @@ def test_awkward(spark):
     assert sorted(tuple(r) for r in got) == by_hand(docs, 2, 4, 2000, 80)
     assert co.collocations(empty(spark)).count() == 0
     assert co.collocations(awkward(spark), 10**6).count() == 0
+
+
+def test_many_pieces_and_packs_change_nothing(spark, monkeypatch):
+    """Counts are cut into pieces and flushed after every shard."""
+    monkeypatch.setattr(co, "MERGED_ROWS", 40)
+    monkeypatch.setattr(co, "PIECE_WORDS", 90)
+    df = spark.createDataFrame(corpus(), "text string, lang string").repartition(3)
+    got = co.collocations(df, 4, shard_words=200).select(*COLUMNS).collect()
+    assert sorted(tuple(r) for r in got) == by_hand(corpus(), 4, 4, 2000, 80)
+
+
+def test_packed_counts_are_small_and_whole():
+    """Pairs of several shards are shipped in under three bytes each, and none is lost."""
+    rng = np.random.default_rng(4)
+    known = rng.integers(0, (1 << 64) - 1, 60_000, np.uint64)
+    rows = [(rng.choice(known, 50_000, replace=False), rng.integers(1, 9, 50_000)) for _ in range(4)]
+    batches = list(co._packed(iter(rows), 32, 7))
+    n = sum(b["n"].to_numpy().sum() for b in batches)
+    assert sum(b["keys"].nbytes + b["counts"].nbytes for b in batches) < 3 * n
+    want = Counter()
+    for hashes, counts in rows:
+        for h, c in zip((hashes >> np.uint64(32)).tolist(), counts.tolist(), strict=True):
+            want[h] += c
+    table = pa.Table.from_batches(batches)
+    got = [h for i in range(7) for h in co._often(20)(table.filter(pc.equal(table["piece"], i)))["h"].to_pylist()]
+    assert got == sorted(h for h, c in want.items() if c >= 20)
