@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.operators.bounds import dealt
@@ -141,20 +141,35 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def page_rank(g: Graph, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """``node_id, rank``: PageRank over directed edges, the sum being one.
 
-    The rank of nodes without an edge out is shared by all.
+    The rank of nodes without an edge out is shared by all. Nodes that no edge
+    leads to have one rank in each round, the same for all of them: what they pass
+    on is summed once, and a round reads the other edges and the nodes that are
+    led to. Each edge is dealt by its source once.
     """
     ids = as_table(g.nodes.select("node_id").distinct())
-    n = ids.count()
-    links = as_table(g.edges.select("src", "dst").distinct())
-    out = links.groupBy("src").agg(F.count("*").alias("n_out"))
-    weighted = as_table(links.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("n_out")).alias("part")))
-    ranks = ids.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    n = max(ids.count(), 1)
+    edges = as_table(g.edges.select("src", "dst"))
+    led_to = as_table(edges.select(F.col("dst").alias("node_id")).distinct().join(ids, "node_id", "left_semi"))
+    marks = led_to.select(F.col("node_id").alias("src"), F.lit(True).alias("known"), F.lit(True).alias("led"))
+    marks = marks.unionByName(ids.select(F.col("node_id").alias("src"), F.lit(True).alias("known"), F.lit(False).alias("led")))
+    links = edges.withColumns({"known": F.lit(False), "led": F.lit(False)}).unionByName(marks.withColumn("dst", F.lit(None).cast("string")))
+    links = dealt(links.where("src IS NOT NULL"), edges.count() + n, "src").dropDuplicates(["src", "dst", "known", "led"])
+    of_source = Window.partitionBy("src")
+    whole = {"n_out": F.count_if(~F.col("known")).over(of_source), "of_known": F.max("known").over(of_source), "of_led": F.max("led").over(of_source)}
+    links = links.withColumns(whole).where("NOT known AND of_known AND dst IS NOT NULL")
+    links = as_table(links.select("src", "dst", (F.lit(1.0) / F.col("n_out")).alias("part"), F.col("of_led").alias("led")))
+    once = links.where("NOT led").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("once"))
+    into = as_table(led_to.join(once, "node_id", "left").select("node_id", F.coalesce("once", F.lit(0.0)).alias("once")))
+    again = links.where("led").select("src", "dst", "part")
+    ranks, least = into.select("node_id", F.lit(1.0 / n).alias("rank")), 1.0 / n
     for _ in range(rounds):
-        passed = ranks.join(weighted, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        held = as_table(ids.join(passed, F.col("node_id") == F.col("dst"), "left").select("node_id", F.coalesce("got", F.lit(0.0)).alias("got")))
+        passed = ranks.join(again, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("more"))
+        got = F.col("once") * least + F.coalesce("more", F.lit(0.0))
+        held = as_table(into.join(passed, F.col("node_id") == F.col("dst"), "left").select("node_id", got.alias("got")))
         lost = 1 - (held.agg(F.sum("got").alias("s")).first()["s"] or 0.0)
-        ranks = held.select("node_id", ((1 - damping + damping * lost) / max(n, 1) + damping * F.col("got")).alias("rank"))
-    return ranks
+        least = (1 - damping + damping * lost) / n
+        ranks = held.select("node_id", (least + damping * F.col("got")).alias("rank"))
+    return ids.join(ranks, "node_id", "left").select("node_id", F.coalesce("rank", F.lit(least)).alias("rank"))
 
 
 def common_neighbors(g: Graph, ids: list[str], direction: str = "both") -> DataFrame:

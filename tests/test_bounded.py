@@ -69,3 +69,22 @@ def test_bm25_keeps_every_document(spark, tmp_path):
     assert sorted((r.query_id, r.doc_id) for r in got) == [(5, i) for i in range(14)]
     scores = [r.score for r in sorted(got, key=lambda r: r.doc_id)]
     assert scores == sorted(scores, reverse=True)
+
+
+def test_page_rank_rounds_hold_what_is_led_to(spark, monkeypatch):
+    """Nodes that no edge leads to aren't in the rounds' tables; repeats, unknown ends, nulls and loops."""
+    nodes = [("hub",), ("end",), ("loop",), ("lonely",), ("end",)] + [(f"leaf{i}",) for i in range(40)]
+    edges = [(f"leaf{i}", "hub") for i in range(40)] + [("leaf0", "hub"), ("leaf1", "end"), ("hub", "end"), ("loop", "loop"), ("hub", "gone"), ("gone", "end"), (None, "hub"), ("leaf2", None)]
+    g = Graph(spark.createDataFrame([(n, "part", n) for (n,) in nodes], "node_id string, node_type string, name string"), spark.createDataFrame(edges, "src string, dst string"))
+    sizes, stored = [], gr.as_table
+    monkeypatch.setattr(gr, "as_table", lambda df: (sizes.append(df.count()) if df.columns == ["node_id", "got"] else None, stored(df))[1])
+    got = {r.node_id: r["rank"] for r in gr.page_rank(g, 4).collect()}
+    ids = {n for (n,) in nodes}
+    out = {a: {b for x, b in edges if x == a} for a, _ in edges if a in ids}
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(4):
+        new = {i: sum(rank[a] / len(bs) for a, bs in out.items() if i in bs) for i in ids}
+        lost = 1 - sum(new.values())
+        rank = {i: (0.15 + 0.85 * lost) / len(ids) + 0.85 * x for i, x in new.items()}
+    assert got.keys() == ids and all(abs(got[i] - rank[i]) < 1e-12 for i in ids)
+    assert sizes == [3] * 4
