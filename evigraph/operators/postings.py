@@ -24,11 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import tokens
-from evigraph.operators.bounds import broadcast_if_small, dealt
+from evigraph.operators.bounds import dealt_texts, fits
 from evigraph.sources.shared import as_table
 
-#: Documents whose terms a task groups.
-TASK_DOCS = 2048
 #: Documents of a range (a block is a term's postings in one range), and ranges of a group.
 RANGE_DOCS = 64
 GROUP_RANGES = 128
@@ -70,22 +68,25 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, range_docs: int = R
     one document of all their terms. Null ids are left out.
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", tokens(F.col("text")).alias("w"))
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
+    rows, words = docs.where("doc_id IS NOT NULL").select("doc_id", "text"), tokens(F.col("text"))
+    size = rows.agg(F.count("*").alias("n"), F.avg(F.size(words)).alias("mean"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n, mean = size["n"], size["mean"] or 1.0
     parts = max(1, -(-n // range_docs))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
-    each = rows.select(part, "doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    if asked is not None:
-        wanted = asked.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
-        each = each.join(broadcast_if_small(wanted, MAX_TERMS), "term", "left_semi")
-    # Dealt by range once, documents and terms are grouped where they are; a task has
-    # so many documents, whatever the corpus.
-    each = dealt(each, n, "part", each=TASK_DOCS).groupBy("part", "doc_id", "term").agg(F.max("len").alias("len"), F.count("*").alias("tf"))
+    # Dealt by range once, as texts, documents and terms are grouped where they are.
+    texts = dealt_texts(rows.select(part, "doc_id", "text"), n, size["bytes"] or 0, "part").select("part", "doc_id", words.alias("w"))
+    each = texts.select("part", "doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    wanted = None if asked is None else asked.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    few = wanted is not None and fits(wanted, MAX_TERMS)
+    if few:
+        each = each.join(F.broadcast(wanted), "term", "left_semi")
+    each = each.groupBy("part", "doc_id", "term").agg(F.max("len").alias("len"), F.count("*").alias("tf"))
     each = each.withColumn("s", _saturation(F.col("tf"), F.col("len"), mean, k1, b))
     listed = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("x")
     blocks = each.groupBy("part", "term").agg(F.max("s").alias("best"), listed)
     blocks = blocks.select("term", "part", "best", F.col("x.doc_id").alias("docs"), F.col("x.tf").alias("tfs"), F.col("x.len").alias("lens"))
+    if wanted is not None and not few:
+        blocks = blocks.join(wanted, "term", "left_semi")
     if asked is None:
         # A file holds a range of terms, so a query's terms are read from few of them.
         blocks = blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part")
@@ -179,9 +180,10 @@ def search(index: Postings, queries: DataFrame, k: int, first: int = FIRST_RANGE
             asked.setdefault(r["query_id"], {})[r["term"]] = r["idf"]
         if asked:
             matched = index.blocks.join(F.broadcast(own.select("term").distinct()), "term")
-            matched = matched.withColumn("group", F.floor(F.col("part") / group_ranges))
-            groups = -(-index.n_docs // (RANGE_DOCS * group_ranges))
-            out = out.unionByName(dealt(matched, groups, "group", each=1).groupBy("group").applyInArrow(_searched(index, asked, k, first), schema))
+            matched = matched.withColumn("group", F.floor(F.col("part") / group_ranges).cast("int"))
+            # By number and not by hash, which would give a task several groups to sort.
+            groups = max(1, -(-index.n_docs // (RANGE_DOCS * group_ranges)))
+            out = out.unionByName(matched.repartitionById(groups, "group").groupBy("group").applyInArrow(_searched(index, asked, k, first), schema))
     found = as_table(out)
     if read is not None:
         read["all"], read["scored"] = (int(x or 0) for x in (terms.agg(F.sum("df")).first()[0], found.agg(F.sum("scored")).first()[0]))

@@ -70,3 +70,26 @@ def test_nothing_to_search(spark):
     queries = spark.createDataFrame([(1, "w1")], "query_id long, text string")
     assert po.search(po.build(corpus(spark).limit(0)), queries, 3).count() == 0
     assert po.search(po.build(corpus(spark)), queries.limit(0), 3).count() == 0
+
+
+def test_texts_are_dealt_and_not_their_terms(spark, monkeypatch):
+    """What a task deals to others is texts; a group of ranges is a task of its own."""
+    plans, stored = [], po.as_table
+    monkeypatch.setattr(po, "as_table", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df))[1])
+    docs, queries = corpus(spark), spark.createDataFrame([(1, "w1 rare0 all"), (2, None)], "query_id long, text string")
+    for only in (None, queries):
+        plans.clear()
+        index = po.build(docs, range_docs=4, asked=only)
+        assert "explode" in plans[0] and plans[0].index("explode") < plans[0].index("REPARTITION_BY_NUM")
+    plans.clear()
+    po.search(index, queries, 3, group_ranges=2)
+    assert "shufflepartitionidpassthrough" in plans[-1].lower() and "hashpartitioning(group" not in plans[-1]
+
+
+def test_more_terms_than_are_broadcast(spark, monkeypatch):
+    docs, queries = corpus(spark), spark.createDataFrame([(1, "w1 rare0 all"), (2, "w2")], "query_id long, text string")
+    want = full(docs, queries, 4)
+    monkeypatch.setattr(po, "MAX_TERMS", 2)
+    index = po.build(docs, range_docs=16, asked=queries)
+    assert {r.term for r in index.terms.collect()} == {"w1", "rare0", "all", "w2"}
+    assert sorted(tuple(r) for r in po.search(index, queries, 4).collect()) == want
