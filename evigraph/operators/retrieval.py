@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evigraph.errors import IndexUnavailable
 from evigraph.functions.text import tokens
-from evigraph.operators.bounds import broadcast_if_small
+from evigraph.operators.bounds import broadcast_if_small, dealt_texts, fits
 from evigraph.sources.shared import as_table
 
 #: Most queries that one batch search sends to every executor.
@@ -187,24 +187,33 @@ def require_vectors(vectors: DataFrame | None, where: str = "") -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score``: BM25 over lower-cased tokens, rounded to six places.
 
-    Only terms of the queries are counted in the documents, whose texts are read
-    once; ``k`` keeps the best.
+    Only terms of the queries are counted in the documents. Texts are dealt by
+    document and their terms counted and scored where they are, in two passes:
+    one for the counts of the whole corpus, which are small, and one for the
+    scores, so that no table of all frequencies is stored or dealt again.
+    ``k`` keeps the best.
     """
+    spark = docs.sparkSession
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    words = dealt_texts(docs.select("doc_id", "text"), size["n"], size["bytes"] or 0, "doc_id").select("doc_id", tokens(F.col("text")).alias("w"))
     # The empty term stands for the document itself, with or without a hit.
     every = F.array_append(F.coalesce("w", F.array().cast("array<string>")), F.lit(""))
-    wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    counted = words.select("doc_id", F.size("w").alias("len"), F.explode(every).alias("term")).join(wanted, "term", "left_semi")
-    tf = as_table(counted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
-    total = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).alias("avg_len"))
-    tf = tf.where("term <> ''")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = terms.select("term").unionByName(spark.range(1).select(F.lit("").alias("term"))).distinct()
+    each = words.select("doc_id", F.size("w").alias("len"), F.explode(every).alias("term"))
+    few = fits(wanted, MAX_TERMS)
+    if few:
+        each = each.join(F.broadcast(wanted), "term", "left_semi")
+    tf = each.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    if not few:
+        tf = tf.join(wanted, "term", "left_semi")
+    known = F.col("len").isNotNull()
+    counts = as_table(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"), F.sum(F.col("len") * F.col("tf")).alias("sum_len"), F.sum(F.when(known, F.col("tf"))).alias("n_len")))
+    total = counts.where("term = ''").select("n", (F.col("sum_len") / F.col("n_len")).alias("avg_len"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = terms.join(df, "term").crossJoin(F.broadcast(total)).select("query_id", "term", "avg_len", idf.alias("idf"))
+    asked = terms.join(counts.where("term <> ''").select("term", "df"), "term").crossJoin(F.broadcast(total)).select("query_id", "term", "avg_len", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    # Dealt by document once, a document's scores are summed where its terms are.
-    hits = tf.repartition("doc_id").join(broadcast_if_small(asked, MAX_TERMS), "term")
+    hits = tf.where("term <> ''").join(broadcast_if_small(as_table(asked), MAX_TERMS), "term")
     scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return scores if k is None else _ranked(scores, k, "doc_id").select("query_id", "rank", "doc_id", "score")
 

@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from evigraph.operators import graph as gr
+from evigraph.operators import retrieval as rt
 from evigraph.plans import PLANS, SQL, runner
 from evigraph.sources.tables import Graph
 from oracle import rows_of
@@ -88,3 +89,24 @@ def test_page_rank_rounds_hold_what_is_led_to(spark, monkeypatch):
         rank = {i: (0.15 + 0.85 * lost) / len(ids) + 0.85 * x for i, x in new.items()}
     assert got.keys() == ids and all(abs(got[i] - rank[i]) < 1e-12 for i in ids)
     assert sizes == [3] * 4
+
+
+def test_bm25_deals_texts_once(spark, tmp_path, monkeypatch):
+    """Terms and scores are grouped where a document's texts were dealt; rows that repeat an id are one document's."""
+    docs = [(i % 7, f"common word{i % 3} " + "filler " * i) for i in range(20)] + [(2, "common word2 "), (2, "common word2 "), (None, "common"), (50, None), (51, ""), (52, "nothing")]
+    items = [(5, "A common word2"), (6, "word0, filler!"), (7, ""), (8, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    want = con.sql(SQL["f07_bm25"])
+    want = rows_of(want.columns, want.fetchall())
+    df = runner(PLANS["f07_bm25"])(spark, str(tmp_path))
+    assert rows_of(df.columns, df.collect()) == want
+    plan = runner(PLANS["f07_bm25"])(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    path = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert "explode" in path and path.count("Exchange") == 1
+    monkeypatch.setattr(rt, "MAX_TERMS", 1)
+    df = runner(PLANS["f07_bm25"])(spark, str(tmp_path))
+    assert rows_of(df.columns, df.collect()) == want
