@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import tokens
-from evigraph.operators.bounds import dealt_texts, fits
+from evigraph.operators.bounds import fits, text_tasks
 from evigraph.sources.shared import as_table
 
 #: Documents of a range (a block is a term's postings in one range), and ranges of a group.
@@ -73,17 +73,20 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, range_docs: int = R
     n, mean = size["n"], size["mean"] or 1.0
     parts = max(1, -(-n // range_docs))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
-    # Dealt by range once, as texts, documents and terms are grouped where they are.
-    texts = dealt_texts(rows.select(part, "doc_id", "text"), n, size["bytes"] or 0, "part").select("part", "doc_id", words.alias("w"))
-    each = texts.select("part", "doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    # Dealt by range once, as texts, documents and terms are grouped where they are, and by
+    # number: a hash would give some tasks twice the ranges of others, the more the more tasks there are.
+    tasks = text_tasks(spark, n, size["bytes"] or 0)
+    task = F.expr(f"cast(part * {tasks} div {parts} as int)").alias("task")
+    texts = rows.select(part, "doc_id", "text").select(task, "*").repartitionById(tasks, "task").select("task", "part", "doc_id", words.alias("w"))
+    each = texts.select("task", "part", "doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
     wanted = None if asked is None else asked.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     few = wanted is not None and fits(wanted, MAX_TERMS)
     if few:
         each = each.join(F.broadcast(wanted), "term", "left_semi")
-    each = each.groupBy("part", "doc_id", "term").agg(F.max("len").alias("len"), F.count("*").alias("tf"))
+    each = each.groupBy("task", "part", "doc_id", "term").agg(F.max("len").alias("len"), F.count("*").cast("int").alias("tf"))
     each = each.withColumn("s", _saturation(F.col("tf"), F.col("len"), mean, k1, b))
     listed = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("x")
-    blocks = each.groupBy("part", "term").agg(F.max("s").alias("best"), listed)
+    blocks = each.groupBy("task", "part", "term").agg(F.max("s").alias("best"), listed)
     blocks = blocks.select("term", "part", "best", F.col("x.doc_id").alias("docs"), F.col("x.tf").alias("tfs"), F.col("x.len").alias("lens"))
     if wanted is not None and not few:
         blocks = blocks.join(wanted, "term", "left_semi")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from evigraph.operators import bounds
 from evigraph.operators import postings as po
 from evigraph.operators import retrieval as rt
 
@@ -93,3 +94,13 @@ def test_more_terms_than_are_broadcast(spark, monkeypatch):
     index = po.build(docs, range_docs=16, asked=queries)
     assert {r.term for r in index.terms.collect()} == {"w1", "rare0", "all", "w2"}
     assert sorted(tuple(r) for r in po.search(index, queries, 4).collect()) == want
+
+
+def test_tasks_have_equal_ranges(spark, monkeypatch):
+    """Ranges are dealt by number, so no task groups more of them than its share."""
+    queries, found, stored = spark.createDataFrame([(1, "all")], "query_id long, text string"), [], po.as_table
+    held = lambda rows: iter([(len({r.part for r in rows}),)])
+    monkeypatch.setattr(po, "as_table", lambda df: (found.extend(n for (n,) in df.rdd.mapPartitions(held).collect()) if "part" in df.columns else None, stored(df))[1])
+    monkeypatch.setattr(bounds, "TASK_DOCS", 64)
+    po.build(corpus(spark, 2000), range_docs=8, asked=queries)
+    assert len(found) == 32 and sum(found) == 251 and max(found) == 8
