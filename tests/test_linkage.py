@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evigraph.operators import linkage as ln
 
@@ -114,3 +115,25 @@ def test_large_blocks_are_tiled(spark):
     assert len(got) == len(set(got)) and set(got) == want
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Deduplicate" not in plan
+
+
+def test_sieves_lose_no_pair(spark):
+    """Edit distances behind sieves are those of all pairs, short and odd texts too."""
+    rng = np.random.default_rng(8)
+    words = ["", "a", "'", "\\\\", "ab", "ba", "aaaaaaaaaa", "aaaaaaaaaaaa", "日本語", "日本", "Customer#000000012", "Customer#000000021", "000000012 Customer", None]
+    words += ["".join(rng.choice(list("abé#1 "), int(rng.integers(0, 9)))) for _ in range(110)]
+    df = spark.createDataFrame([(f"r{i:03}", w, "x") for i, w in enumerate(words)], "rec_id string, name string, city string")
+    for k in range(4):
+        pairs = ln.candidate_pairs(df, {"name": [f"levenshtein(l.name, r.name) <= {k}"]}, ["city"], tile=50)
+        plain = df.alias("l").join(df.alias("r"), F.expr("l.rec_id < r.rec_id"))
+        want = plain.selectExpr("l.rec_id AS a", "r.rec_id AS b", f"CASE WHEN l.name IS NULL OR r.name IS NULL THEN -1 WHEN levenshtein(l.name, r.name) <= {k} THEN 1 ELSE 0 END AS g")
+        assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect()))
+    assert "once_name" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_pair_of_tiles_meets_once(spark):
+    """Records are copied to the tiles from theirs on, as left sides, or up to theirs, as right ones."""
+    df = spark.createDataFrame([(f"r{i:03}", f"name{i}", None, "one", 1900) for i in range(100)], SCHEMA)
+    left, right, _ = ln._tiles(df, FIELDS, BLOCKS, tile=10)
+    assert left.count() == right.count() == 10 * sum(range(1, 11))
+    assert left.where("i > j").isEmpty() and right.where("i > j").isEmpty()
