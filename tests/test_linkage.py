@@ -137,3 +137,18 @@ def test_a_pair_of_tiles_meets_once(spark):
     left, right, _ = ln._tiles(df, FIELDS, BLOCKS, tile=10)
     assert left.count() == right.count() == 10 * sum(range(1, 11))
     assert left.where("i > j").isEmpty() and right.where("i > j").isEmpty()
+
+
+def test_weights_are_looked_up(spark):
+    """Each pattern has one weight, made once: no pair's sum is rounded."""
+    rows, _ = people(90)
+    pairs = ln.candidate_pairs(spark.createDataFrame(rows, SCHEMA), FIELDS, BLOCKS)
+    got = ln.weighted(pairs, FIELDS)
+    assert "round(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(map(tuple, got.collect()))
+    most, ln.MOST_PATTERNS = ln.MOST_PATTERNS, 1
+    try:
+        summed = sorted(map(tuple, ln.weighted(pairs, FIELDS).collect()))
+    finally:
+        ln.MOST_PATTERNS = most
+    assert found == summed and len(found) > 90
